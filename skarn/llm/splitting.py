@@ -77,7 +77,8 @@ def pieces(text: Column, limit: int = PIECE_CHARS, overlap: int = OVERLAP_CHARS)
     A piece brings at most ``limit`` new characters (code points) and begins with at most ``overlap`` characters
     repeated from the end of the piece before it, from the start of a word where there is one. Code blocks and
     tables stay whole, whatever their size, and neither give nor take a repeat. Blank runs give no piece. The new
-    parts, joined, are the text without its blank runs. Null gives null; a blank text gives no pieces.
+    parts, joined, are the text without its blank runs and blank rests of runs. Null gives null; a blank text gives no
+    pieces.
     """
     least = min(LEAST_OVERLAP, overlap)
 
