@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skarn.llm import splitting_queries
+from skarn.llm import lookalike_queries, splitting_queries
 
-_MODULES = [splitting_queries]
+_MODULES = [splitting_queries, lookalike_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
