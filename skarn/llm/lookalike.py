@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skarn.plans.stage import write_stage
+
 # Letters of other scripts and blocks that have the shape of a Latin letter, and what they look like.
 LOOKALIKE_LETTERS = {
     # Greek
@@ -149,7 +151,7 @@ def look_digests(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def lookalike_classes(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(id, look, raw) of the texts that look like another, different text. One look is one class; one raw is one text in it."""
-    rows = look_digests(docs, key, text)
+    rows = write_stage(look_digests(docs, key, text), "looks")
     mixed = rows.groupBy("look").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where(F.col("lo") != F.col("hi")).select("look")
     return rows.join(mixed, "look", "left_semi").select("id", "look", "raw")
 
