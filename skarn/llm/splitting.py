@@ -88,7 +88,8 @@ def pieces(text: Column, limit: int = PIECE_CHARS, overlap: int = OVERLAP_CHARS)
 
     def cut(run: Column) -> Column:
         new = F.filter(F.regexp_extract_all(run, _sql(_piece_pattern(limit)), F.lit(0)), lambda p: ~is_blank(p))
-        back = F.transform(new, lambda p, i: F.when((i > 0) & F.lit(overlap > 0), tail(F.get(new, i - 1))).otherwise(F.lit("")))
+        before = F.concat(F.array(F.lit("")), F.slice(new, 1, F.greatest(F.size(new) - 1, F.lit(0))))
+        back = F.transform(F.slice(before, 1, F.size(new)), tail if overlap else lambda _: F.lit(""))
         return F.zip_with(new, back, lambda p, r: F.struct(F.concat(r, p).alias("text"), F.length(r).alias("repeated"), F.lit(False).alias("atomic")))
 
     whole = lambda b: F.array(F.struct(b.alias("text"), F.lit(0).alias("repeated"), F.lit(True).alias("atomic")))
