@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skarn.llm import boilerplate_queries, lookalike_queries, neardup_queries, splitting_queries
+from skarn.llm import boilerplate_queries, lookalike_queries, mixing_queries, neardup_queries, packing_queries, splitting_queries
 
-_MODULES = [neardup_queries, splitting_queries, boilerplate_queries, lookalike_queries]
+_MODULES = [neardup_queries, splitting_queries, boilerplate_queries, packing_queries, mixing_queries, lookalike_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
