@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skarn.plans import reference_queries
+from skarn.plans import corpus_queries, evaluation_queries, reference_queries, retrieval_queries
 
-_MODULES = [reference_queries]
+_MODULES = [reference_queries, retrieval_queries, corpus_queries, evaluation_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reference_queries.p1_counts(spark, sf_dir)
+    return retrieval_queries.hybrid_search(spark, sf_dir)
