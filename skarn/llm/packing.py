@@ -32,14 +32,16 @@ _FIELDS = ("pack_name", "container_id", "slot", "doc_id", "piece", "first_token"
 def bm25_scores(terms: list[np.ndarray], counts: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
     """[n, n] scores: row i has each document's BM25 score for the terms of document i. A term of one document only can't match another and has no column."""
     n = len(terms)
-    flat = np.concatenate(terms) if n else np.empty(0, np.int64)
+    if not n:
+        return np.zeros((0, 0), np.float32)
+    flat = np.concatenate(terms)
     used, column, frequency = np.unique(flat, return_inverse=True, return_counts=True)
     shared = np.cumsum(frequency > 1) - 1
     keep = frequency[column] > 1
     rows, cols = np.repeat(np.arange(n), [len(t) for t in terms])[keep], shared[column[keep]]
     tf = np.concatenate(counts).astype(np.float32)[keep]
     idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5)).astype(np.float32)[frequency > 1]
-    mean = max(1.0, float(sizes.mean())) if n else 1.0
+    mean = max(1.0, float(sizes.mean()))
     norm = (K1 * (1 - B + B * sizes / mean)).astype(np.float32)
     query, weight = np.zeros((n, int((frequency > 1).sum())), np.float32), np.zeros((n, int((frequency > 1).sum())), np.float32)
     query[rows, cols] = 1
