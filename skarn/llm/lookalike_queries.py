@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.llm.lookalike import lookalike_classes, lookalike_pairs, normalized
+from skarn.llm.lookalike import look, lookalike_classes, lookalike_pairs, normalized
 from skarn.plans.tables import table
 
 
@@ -26,4 +26,30 @@ def p7_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p7_found": p7_found, "p7_normalized": p7_normalized, "p7_classes": p7_classes}
-SQL: dict[str, str] = {}
+
+
+def _sql() -> str:
+    """The same pairs by plain SQL: every character of the basic plane that is replaced goes through one translate(), joined letters through replace()."""
+    one_from, one_to, none, several = [], [], [], []
+    for o in (*range(0x80, 0x300), *range(0x370, 0xD800), *range(0xF900, 0x10000)):
+        ch = chr(o)
+        to = look("x" + ch)[1:]
+        if ch == "\u200d" or to == ch:
+            continue
+        if len(to) == 1:
+            one_from.append(ch)
+            one_to.append("''" if to == "'" else to)
+        elif not to:
+            none.append(ch)
+        elif 0xFB00 <= o <= 0xFB06:
+            several.append((ch, to))
+    text = f"translate(regexp_replace(text, '([\\x{{1F000}}-\\x{{1FAFF}}])\\x{{200D}}([\\x{{1F000}}-\\x{{1FAFF}}])', '\\1\ue000\\2', 'g'), '{''.join(one_from)}{''.join(none)}\u200d', '{''.join(one_to)}')"
+    for ch, to in several:
+        text = f"replace({text}, '{ch}', '{to}')"
+    return f"""
+WITH f AS (SELECT doc_id, text, nfc_normalize(replace({text}, '\ue000', '\u200d')) AS form FROM documents WHERE text IS NOT NULL),
+g AS (SELECT * FROM f WHERE regexp_matches(form, '[\\p{{L}}\\p{{N}}]'))
+SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM g a JOIN g b ON a.form = b.form AND a.doc_id < b.doc_id WHERE a.text <> b.text"""
+
+
+SQL = {"p7_found": _sql()}

@@ -55,15 +55,15 @@ def largest_exact_total(weights: dict[str, float], limits: dict[str, float]) ->
     return min((limits[s] * weight / w for s, w in usable.items()), default=0.0)
 
 
-def plan_mix(records: DataFrame, targets: list[tuple[str, float, int]], total_tokens: float | None = None) -> list[SourcePlan]:
-    """Plan the uses. ``records`` has (source, part, n_tokens). Only sums per source and part come to the driver: at most PARTS numbers for each target source."""
+def plan_mix(records: DataFrame, targets: list[tuple[str, float, int]], total_tokens: float | None = None, of_available: float | None = None) -> list[SourcePlan]:
+    """Plan the uses for a total: given in tokens, or as a multiple of what the sources have, or the largest exact one. ``records`` has (source, part, n_tokens). Only sums per source and part come to the driver: at most PARTS numbers for each target source."""
     wanted = records.where(F.col("source").isin([t[0] for t in targets]))
     sums: dict[str, list[int]] = {t[0]: [0] * PARTS for t in targets}
     for source, part, n in wanted.groupBy("source", "part").agg(F.sum("n_tokens")).collect():
         sums[source][part] = n
     weights, tokens = {t[0]: float(t[1]) for t in targets}, {s: sum(p) for s, p in sums.items()}
     limits = {t[0]: float(tokens[t[0]] * max(0, t[2])) for t in targets}
-    total = largest_exact_total(weights, limits) if total_tokens is None else total_tokens
+    total = total_tokens if total_tokens is not None else of_available * sum(tokens.values()) if of_available is not None else largest_exact_total(weights, limits)
     filled = water_fill(weights, limits, total)
     plans = []
     for source, share, repeats in targets:
@@ -78,12 +78,12 @@ def plan_mix(records: DataFrame, targets: list[tuple[str, float, int]], total_to
     return plans
 
 
-def mixed(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 7, tokenizer: str = TOKENIZER_PATH) -> tuple[DataFrame, DataFrame]:
+def mixed(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None, of_available: float | None = None, seed: int = 7, tokenizer: str = TOKENIZER_PATH) -> tuple[DataFrame, DataFrame]:
     """The uses of each record, and the shares reached.
 
     ``docs`` has (doc_id, source, text), ``targets`` (source, target_share, max_repeats), one small row per source.
-    Without ``total_tokens`` the total is the largest at which all targets can be met; a larger one clamps sources at
-    their most repeats. Records are drawn by a hash of seed and doc_id, so a run can be repeated. Returns
+    The total is ``total_tokens``, or ``of_available`` times the tokens of all target sources, or, without either, the
+    largest at which all targets can be met; a larger one clamps sources at their most repeats. Records are drawn by a hash of seed and doc_id, so a run can be repeated. Returns
     (doc_id, source, n_tokens, uses), with a row for each record of a target source, and one row per target
     source: (source, target_share, max_repeats, source_tokens, used_tokens, actual_share, epochs). Records without a
     source in targets are left out; sources without records get a share of 0; null texts have no tokens.
@@ -93,7 +93,7 @@ def mixed(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None
     rows = sorted((s, *v) for s, v in limits.items())
     named = docs.where(F.col("source").isin([r[0] for r in rows]))
     tokens = write_stage(counted(named, ["doc_id", "source"], "text", tokenizer).withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(PARTS)).cast("int")), "tokens")
-    plans = plan_mix(tokens, rows, total_tokens)
+    plans = plan_mix(tokens, rows, total_tokens, of_available)
     table = spark.createDataFrame([(p.source, p.target_share, p.max_repeats, p.source_tokens, p.whole, p.cut) for p in plans], "source string, target_share double, max_repeats int, source_tokens long, whole int, cut int")
     uses = tokens.join(table.select("source", "whole", "cut"), "source").select("doc_id", "source", "n_tokens", (F.col("whole") + (F.col("part") < F.col("cut")).cast("int")).alias("uses"))
     sums = uses.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("used_tokens"))

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from skarn.llm.mixing import mixed
 from skarn.plans.tables import table
 
-#: Tokens wanted by the two queries of the clamped mix, several times what the smallest sources can give.
-CLAMPED_TOTAL = 20_000_000
+#: The clamped mix wants as many tokens as all target sources have, more than the small ones can give.
+CLAMPED = 1.0
 
 
-def _mixed(spark: SparkSession, sf_dir: str, total: float | None = None) -> tuple[DataFrame, DataFrame]:
-    return mixed(table(spark, sf_dir, "documents", "doc_id", "source", "text"), table(spark, sf_dir, "mix_targets"), total)
+def _mixed(spark: SparkSession, sf_dir: str, of_available: float | None = None) -> tuple[DataFrame, DataFrame]:
+    return mixed(table(spark, sf_dir, "documents", "doc_id", "source", "text"), table(spark, sf_dir, "mix_targets"), of_available=of_available)
 
 
 def p6_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,13 +28,13 @@ def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_clamped_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Uses for a fixed total: small sources are clamped at their most repeats."""
-    return _mixed(spark, sf_dir, CLAMPED_TOTAL)[0]
+    """Uses for a total of all that the sources have: small sources are clamped at their most repeats."""
+    return _mixed(spark, sf_dir, CLAMPED)[0]
 
 
 def p6_clamped_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shares reached for a fixed total."""
-    shares = _mixed(spark, sf_dir, CLAMPED_TOTAL)[1]
+    """The shares reached for that total."""
+    shares = _mixed(spark, sf_dir, CLAMPED)[1]
     return shares.withColumns({c: F.round(c, 6) for c in ("actual_share", "epochs")})
 
 
