@@ -24,12 +24,18 @@ def build_session(master: str = "local[8]", app: str = "skarn", shuffle_partitio
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    prepare(spark)
     return spark
 
 
-def share_package(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it, whatever folder they start in."""
+def prepare(spark: SparkSession) -> None:
+    """Make a session fit for the queries, whoever started it.
+
+    Python workers get this package's folder on their path. Unions that keep their inputs' partitioning are turned
+    off: under adaptive execution such inputs can end up with unequal numbers of partitions, which fails.
+    """
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(p for p in (root, known) if p)
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
