@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from skarn.functions import text as X
 from skarn.operators import catalog, chunking, fusion, lexical
-from skarn.plans.tables import table
+from skarn.plans.tables import spread, table
 
 
 def _manifest(spark, d):
@@ -94,7 +94,7 @@ def error_counts(spark, d):
 
 def _docs(spark, d):
     rel = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
-    return table(spark, d, "documents", "doc_id", "source", "text").select("doc_id", rel.alias("rel_path"), "source", "text")
+    return spread(table(spark, d, "documents", "doc_id", "source", "text"), "doc_id").select("doc_id", rel.alias("rel_path"), "source", "text")
 
 
 def _sections(spark, d):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skarn.functions import text as X
 from skarn.operators import fusion, lexical, vector
-from skarn.plans.tables import table
+from skarn.plans.tables import spread, table
 
 K = 10
 #: What the line queries look for.
@@ -28,7 +28,7 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents", "doc_id", "text", "source", "lang")
+    return spread(table(spark, d, "documents", "doc_id", "text", "source", "lang"), "doc_id")
 
 
 def sections_with_source(spark: SparkSession, d: str) -> DataFrame:

@@ -9,3 +9,9 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     """One Parquet table of a data folder, with only the named columns (all, if none is named)."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A plain scan whose rows go to as many tasks as there are cores, if its files are too few for that; a scan of many files is returned as it is. For tables whose texts are expensive to work on."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
