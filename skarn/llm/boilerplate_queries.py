@@ -6,22 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarn.llm.boilerplate import cleaned_sections, line_clusters, repeated_lines
-from skarn.plans.tables import table
+from skarn.plans.tables import spread, table
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every occurrence of a line that stands in ten or more paths of one source."""
-    return repeated_lines(table(spark, sf_dir, "parents"), table(spark, sf_dir, "files"))
+    return repeated_lines(spread(table(spark, sf_dir, "parents"), "parent_id"), table(spark, sf_dir, "files"))
 
 
 def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each section's text without the lines of frequent clusters."""
-    return cleaned_sections(table(spark, sf_dir, "parents"), table(spark, sf_dir, "files"))
+    return cleaned_sections(spread(table(spark, sf_dir, "parents"), "parent_id"), table(spark, sf_dir, "files"))
 
 
 def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The frequent clusters of lines of each source."""
-    clusters, _ = line_clusters(table(spark, sf_dir, "parents"), table(spark, sf_dir, "files"))
+    clusters, _ = line_clusters(spread(table(spark, sf_dir, "parents"), "parent_id"), table(spark, sf_dir, "files"))
     return clusters.groupBy("source", "cluster").agg(F.count(F.lit(1)).alias("n_lines"), F.max("n_paths").alias("n_paths"))
 
 

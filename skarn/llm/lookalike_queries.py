@@ -6,22 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarn.llm.lookalike import look, lookalike_classes, lookalike_pairs, normalized
-from skarn.plans.tables import table
+from skarn.plans.tables import spread, table
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every two documents whose texts look the same but are not equal."""
-    return lookalike_pairs(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text").select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+    return lookalike_pairs(spread(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id"), "doc_id", "text").select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
 def p7_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's text in its one form."""
-    return normalized(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+    return normalized(spread(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id"), "doc_id", "text")
 
 
 def p7_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class membership of every document that looks like a different one."""
-    rows = lookalike_classes(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+    rows = lookalike_classes(spread(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id"), "doc_id", "text")
     return rows.select(F.col("id").alias("doc_id"), F.hex("look").alias("class_id"), F.hex("raw").alias("text_id"))
 
 

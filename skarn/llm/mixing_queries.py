@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarn.llm.mixing import mixed
-from skarn.plans.tables import table
+from skarn.plans.tables import spread, table
 
 #: The clamped mix wants as many tokens as all target sources have, more than the small ones can give.
 CLAMPED = 1.0
 
 
 def _mixed(spark: SparkSession, sf_dir: str, of_available: float | None = None) -> tuple[DataFrame, DataFrame]:
-    return mixed(table(spark, sf_dir, "documents", "doc_id", "source", "text"), table(spark, sf_dir, "mix_targets"), of_available=of_available)
+    return mixed(spread(table(spark, sf_dir, "documents", "doc_id", "source", "text"), "doc_id"), table(spark, sf_dir, "mix_targets"), of_available=of_available)
 
 
 def p6_uses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarn.llm.neardup import expanded_pairs, groups, near_duplicates
-from skarn.plans.tables import table
+from skarn.plans.tables import spread, table
 
 
 def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    texts = table(spark, sf_dir, "parents").select(F.col("parent_id").alias("id"), "text")
+    texts = spread(table(spark, sf_dir, "parents", "parent_id", "text"), "parent_id").withColumnRenamed("parent_id", "id")
     paths = table(spark, sf_dir, "files").select(F.col("rel_path").alias("id"))
     return near_duplicates(texts, paths)
 
