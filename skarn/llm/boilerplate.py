@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skarn.plans.skew import ROWS_PER_SALT, hot_keys, replicated, salted
 from skarn.plans.stage import write_stage
 
 #: Documents of one source in which a line must stand; letters below which a line does not count.
@@ -131,10 +132,12 @@ def numbers_array(offsets: pa.Array, values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(values))
 
 
-def sourced_lines(parents: DataFrame, files: DataFrame, bands: int = 1) -> DataFrame:
-    """``section_lines`` with the source of the section's file, written as a stage table. Sections whose path is not in files, or has no source there, are left out."""
+def sourced_lines(parents: DataFrame, files: DataFrame, bands: int = 1, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """``section_lines`` with the source of the section's file, written as a stage table. Sections whose path is not in files, or has no source there, are left out. A path with very many sections is salted."""
     sources = files.where(F.col("rel_path").isNotNull() & F.col("source").isNotNull()).groupBy("rel_path").agg(F.min("source").alias("source"))
-    return write_stage(section_lines(parents, bands).join(sources, "rel_path"), "lines")
+    hot = hot_keys(parents.select("rel_path"), ["rel_path"], rows_per_salt)
+    lines = salted(section_lines(parents, bands), hot, ["rel_path"], F.col("parent_id"))
+    return write_stage(lines.join(replicated(sources, hot, ["rel_path"]), ["rel_path", "salt"]).drop("salt"), "lines")
 
 
 def _keep(rows: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:

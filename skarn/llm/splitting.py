@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skarn.plans.skew import ROWS_PER_SALT, hot_keys, replicated, salted
+
 #: New characters a piece may bring, characters it may repeat, least repeat that counts, and the section limit.
 PIECE_CHARS, OVERLAP_CHARS, LEAST_OVERLAP, SECTION_CHARS = 500, 100, 30, 4000
 
@@ -136,20 +138,22 @@ def _part_of_block(text: Column, whole: Column) -> Column:
     return inside(_trimmed(text)) | F.exists(own, inside) | opened | html | lost
 
 
-def audit_pieces(children: DataFrame, parents: DataFrame, limit: int = PIECE_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
+def audit_pieces(children: DataFrame, parents: DataFrame, limit: int = PIECE_CHARS, overlap: int = OVERLAP_CHARS, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """Pieces of a former run that are wrongly cut: (chunk_id, parent_id, too_long, part, no_repeat, mid_word).
 
     A piece is compared with each piece of its section whose child_idx is one lower; the two meet in an equi-join on
-    (parent_id, child_idx), so one section with very many pieces is spread like any other rows. Blank and null pieces
-    are never wrong. A piece whose section is unknown is judged by its own text. Of copied rows one counts.
+    (parent_id, child_idx), so one section with very many pieces is spread like any other rows; where pieces meet their
+    section's blocks, such a section is salted. Blank and null pieces are never wrong. A piece whose section is unknown is judged by its own text. Of copied rows one counts.
     """
     once = one_row_per_key(children.select("chunk_id", "parent_id", "child_idx", "text"), "chunk_id", "parent_id", "child_idx", "text")
     wanted = once.select("parent_id").distinct()
     texts = one_row_per_key(parents.select("parent_id", "text").join(wanted, "parent_id", "left_semi"), "parent_id", "text")
     block_lists = texts.select("parent_id", F.transform(F.filter(blocks(F.col("text")), is_block), _trimmed).alias("whole"))
+    hot = hot_keys(children.select("parent_id"), ["parent_id"], rows_per_salt)
+    solid = once.where(F.col("text").isNotNull() & ~is_blank(F.col("text")))
     judged = (
-        once.where(F.col("text").isNotNull() & ~is_blank(F.col("text")))
-        .join(block_lists, "parent_id", "left")
+        salted(solid, hot, ["parent_id"], F.col("chunk_id"))
+        .join(replicated(block_lists, hot, ["parent_id"]), ["parent_id", "salt"], "left")
         .select("chunk_id", "parent_id", "child_idx", "text", just_one_block(F.col("text")).alias("one_block"), _part_of_block(F.col("text"), F.col("whole")).alias("part"))
     )
     plain = ~F.col("one_block") & ~F.col("part")

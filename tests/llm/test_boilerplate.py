@@ -56,6 +56,12 @@ def test_cleaned_sections(spark):
     assert got["p1"][1] == 0  # the other source has too few paths
 
 
+def test_one_path_holds_most_sections(spark):
+    p = spark.createDataFrame([(f"p{i}", "big" if i % 3 else f"f{i}", f"a line that stands here\nother {i}", None) for i in range(300)], PARENTS)
+    f = spark.createDataFrame([(x, "wiki", 1) for x in {r[0] for r in p.select("rel_path").distinct().collect()}], FILES)
+    assert B.sourced_lines(p, f, rows_per_salt=20).count() == B.sourced_lines(p, f).count() == 300
+
+
 def test_one_source_holds_nearly_all(spark):
     parents = [(f"p{i}", f"f{i}", f"the same notice stands here\nand text {i}", None) for i in range(2000)]
     p, f = spark.createDataFrame(parents, PARENTS), spark.createDataFrame([(x[1], "wiki", 1) for x in parents], FILES)

@@ -137,3 +137,4 @@ def test_audit(spark):
     found = {r["chunk_id"]: tuple(k for k in ("too_long", "part", "no_repeat", "mid_word") if r[k]) for r in P.audit_pieces(children, parents).collect()}
     assert found == {"norepeat": ("no_repeat",), "midword": ("mid_word",), "part1": ("part",), "part2": ("part",), "inner": ("part",), "long": ("too_long",), "lost": ("part",)}
     assert P.audit_pieces(children.limit(0), parents).count() == 0
+    assert rows(P.audit_pieces(children, parents, rows_per_salt=2), "chunk_id") == sorted((c,) for c in found)  # sections of more pieces are salted
