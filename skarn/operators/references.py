@@ -18,20 +18,32 @@ from skarn.plans.skew import ROWS_PER_SALT, hot_keys, replicated, salted
 MISSING, DELETED, LATE = "missing", "deleted", "late"
 
 
-def references(rows: DataFrame, table: str, field: str, target: str, key: str, value: str, time: str) -> DataFrame:
-    """The references of one column: (table_name, field_name, target, record_key, ref_key, ref_time).
+def references_of(rows: DataFrame, table: str, fields: dict[str, tuple[str, str]], key: str, time: str) -> DataFrame:
+    """The references of a table's columns: (table_name, field_name, target, record_key, ref_key, ref_time).
 
-    ``value`` is a string or an array of strings; null and empty values are no references. Copied rows of one
-    record count once, and the record's time is the earliest of its copies (null only if all are null). Rows
-    without a key are taken as one record with a null key. Further columns are ignored.
+    ``fields`` gives, by name, the target and the column; a column holds a string or an array of strings. Null and
+    empty values are no references. Copied rows of one record count once (they are combined before the shuffle, for all
+    columns together), and the record's time is the earliest of its copies (null only if all are null). Rows without
+    a key are taken as one record with a null key. Further columns are ignored.
     """
-    values = F.col("_value")
-    picked = rows.select(F.col(key).cast("string").alias("record_key"), F.col(value).alias("_value"), F.col(time).alias("ref_time"))
-    if isinstance(picked.schema["_value"].dataType, T.ArrayType):
-        values = F.explode_outer(F.array_distinct(F.col("_value")))
-    once = picked.select("record_key", values.alias("ref_key"), "ref_time").groupBy("record_key", "ref_key").agg(F.min("ref_time").alias("ref_time"))
-    earliest = F.min("ref_time").over(Window.partitionBy("record_key"))
-    return once.withColumn("ref_time", earliest).where(F.col("ref_key").isNotNull() & (F.col("ref_key") != "")).select(F.lit(table).alias("table_name"), F.lit(field).alias("field_name"), F.lit(target).alias("target"), "record_key", "ref_key", "ref_time")
+    values = {f"_{name}": (name, target, column) for name, (target, column) in fields.items()}
+    picked = rows.select(F.col(key).cast("string").alias("record_key"), F.col(time).alias("ref_time"), *(F.col(c).alias(v) for v, (_, _, c) in values.items()))
+    once = picked.groupBy("record_key", *values).agg(F.min("ref_time").alias("ref_time"))
+    dated = once.withColumn("ref_time", F.min("ref_time").over(Window.partitionBy("record_key")))
+
+    def listed(value: str, name: str, target: str) -> Column:
+        many = isinstance(picked.schema[value].dataType, T.ArrayType)
+        keys = F.coalesce(F.array_distinct(value), F.array().cast("array<string>")) if many else F.array(value)
+        return F.transform(keys, lambda k: F.struct(F.lit(name).alias("field_name"), F.lit(target).alias("target"), k.alias("ref_key")))
+
+    each = F.concat(*(listed(v, name, target) for v, (name, target, _) in values.items()))
+    found = dated.select("record_key", "ref_time", F.inline(each)).where(F.col("ref_key").isNotNull() & (F.col("ref_key") != ""))
+    return found.select(F.lit(table).alias("table_name"), "field_name", "target", "record_key", "ref_key", "ref_time")
+
+
+def references(rows: DataFrame, table: str, field: str, target: str, key: str, value: str, time: str) -> DataFrame:
+    """The references of one column; see ``references_of``."""
+    return references_of(rows, table, {field: (target, value)}, key, time)
 
 
 def target_intervals(rows: DataFrame, target: str, key: str, time: str, deleted: DataFrame | None = None, deleted_key: str = "", deleted_time: Column | None = None) -> DataFrame:
