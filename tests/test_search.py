@@ -43,6 +43,9 @@ def test_lsh_recall_is_at_least_nine_tenths(spark):
     exact = {(r[0], r[1]) for r in vector.dense_topk(q, p, 10).collect()}
     found = {(r[0], r[1]) for r in vector.lsh_topk(q, p, 10).collect()}
     assert len(exact & found) / len(exact) >= 0.9
+    odd = p.unionByName(spark.createDataFrame([(None, [1.0] * 64), (7000, None), (7001, []), (7002, [1.0])], p.schema))
+    assert {(r[0], r[1]) for r in vector.lsh_topk(q, odd, 10).collect()} == found
+    assert vector.lsh_topk(q.limit(0), p, 10).count() == vector.lsh_topk(q, p.limit(0), 10).count() == 0
 
 
 DOCS = [(1, "the cat sat on the mat"), (2, "The CAT cat cat"), (3, None), (4, ""), (5, "dogs und Äpfel"), (6, "mat " * 500), (7, "the cat sat on the mat")]
