@@ -30,15 +30,27 @@ def references_of(rows: DataFrame, table: str, fields: dict[str, tuple[str, str]
     picked = rows.select(F.col(key).cast("string").alias("record_key"), F.col(time).alias("ref_time"), *(F.col(c).alias(v) for v, (_, _, c) in values.items()))
     once = picked.groupBy("record_key", *values).agg(F.min("ref_time").alias("ref_time"))
     dated = once.withColumn("ref_time", F.min("ref_time").over(Window.partitionBy("record_key")))
+    return _listed(dated, fields, "_").select(F.lit(table).alias("table_name"), "field_name", "target", "record_key", "ref_key", "ref_time")
 
-    def listed(value: str, name: str, target: str) -> Column:
-        many = isinstance(picked.schema[value].dataType, T.ArrayType)
+
+def reference_keys(rows: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """(target, ref_key) of each reference, copied rows too: enough to find the keys that many rows hold, without the shuffle that ``references_of`` needs."""
+    named = rows.select(*(F.col(c).alias(f"_{name}") for name, (_, c) in fields.items()))
+    return _listed(named, fields, "_").select("target", "ref_key")
+
+
+def _listed(rows: DataFrame, fields: dict[str, tuple[str, str]], prefix: str) -> DataFrame:
+    """One row per reference, with field_name, target and ref_key."""
+
+    def each(name: str, target: str) -> Column:
+        value = prefix + name
+        many = isinstance(rows.schema[value].dataType, T.ArrayType)
         keys = F.coalesce(F.array_distinct(value), F.array().cast("array<string>")) if many else F.array(value)
         return F.transform(keys, lambda k: F.struct(F.lit(name).alias("field_name"), F.lit(target).alias("target"), k.alias("ref_key")))
 
-    each = F.concat(*(listed(v, name, target) for v, (name, target, _) in values.items()))
-    found = dated.select("record_key", "ref_time", F.inline(each)).where(F.col("ref_key").isNotNull() & (F.col("ref_key") != ""))
-    return found.select(F.lit(table).alias("table_name"), "field_name", "target", "record_key", "ref_key", "ref_time")
+    rest = [c for c in rows.columns if c not in {prefix + name for name in fields}]
+    found = rows.select(*rest, F.inline(F.concat(*(each(name, target) for name, (target, _) in fields.items()))))
+    return found.where(F.col("ref_key").isNotNull() & (F.col("ref_key") != ""))
 
 
 def references(rows: DataFrame, table: str, field: str, target: str, key: str, value: str, time: str) -> DataFrame:
@@ -59,15 +71,16 @@ def target_intervals(rows: DataFrame, target: str, key: str, time: str, deleted:
     return live.where(F.col("ref_key").isNotNull()).groupBy("ref_key").agg(F.min("valid_from").alias("valid_from"), F.max("valid_to").alias("valid_to"), F.max("present").alias("present")).select(F.lit(target).alias("target"), "ref_key", "valid_from", "valid_to", "present")
 
 
-def dangling_references(refs: DataFrame, targets: DataFrame, grace_hours: float = 24.0, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+def dangling_references(refs: DataFrame, targets: DataFrame, grace_hours: float = 24.0, rows_per_salt: int = ROWS_PER_SALT, counted: DataFrame | None = None) -> DataFrame:
     """References whose target is missing, deleted, or came more than ``grace_hours`` after the reference.
 
     Returns (table_name, field_name, record_key, ref_key, period, state), no row twice. ``period`` is the month of
     the reference's time in UTC, null where that time is null. A null time on either side can't be late. Empty
-    inputs give no rows; with no targets every reference is missing.
+    inputs give no rows; with no targets every reference is missing. ``counted`` may give the rows (target, ref_key)
+    by which frequent keys are found, if they are cheaper to have than ``refs``.
     """
     keys = ["target", "ref_key"]
-    hot = hot_keys(refs.select(*keys), keys, rows_per_salt)
+    hot = hot_keys((refs if counted is None else counted).select(*keys), keys, rows_per_salt)
     left = salted(refs, hot, keys, F.col("record_key"))
     right = replicated(targets, hot, keys).hint("merge")
     late = F.col("valid_from").isNotNull() & F.col("ref_time").isNotNull() & (F.col("valid_from") > F.col("ref_time") + F.expr(f"INTERVAL {int(grace_hours * 3600)} SECONDS"))

@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.operators.references import dangling_counts, dangling_references, references_of, target_intervals
+from skarn.operators.references import dangling_counts, dangling_references, reference_keys, references_of, target_intervals
 from skarn.plans.tables import table
 
 
 def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, golden = table(spark, sf_dir, "chunks"), table(spark, sf_dir, "golden")
-    refs = references_of(chunks, "chunks", {"rel_path": ("files", "rel_path"), "parent_id": ("parents", "parent_id")}, "chunk_id", "recorded_at").unionByName(
-        references_of(golden, "golden", {"expected_rel_paths": ("files", "expected_rel_paths")}, "id", "added_at")
-    )
+    of_chunks, of_golden = {"rel_path": ("files", "rel_path"), "parent_id": ("parents", "parent_id")}, {"expected_rel_paths": ("files", "expected_rel_paths")}
+    refs = references_of(chunks, "chunks", of_chunks, "chunk_id", "recorded_at").unionByName(references_of(golden, "golden", of_golden, "id", "added_at"))
+    keys = reference_keys(chunks, of_chunks).unionByName(reference_keys(golden, of_golden))
     targets = target_intervals(table(spark, sf_dir, "files"), "files", "rel_path", "recorded_at", table(spark, sf_dir, "pending_deletes"), "rel_path", F.try_to_timestamp("detected_at")).unionByName(
         target_intervals(table(spark, sf_dir, "parents"), "parents", "parent_id", "recorded_at")
     )
-    return dangling_references(refs, targets)
+    return dangling_references(refs, targets, counted=keys)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
