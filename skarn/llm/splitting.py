@@ -146,7 +146,7 @@ def audit_pieces(children: DataFrame, parents: DataFrame, limit: int = PIECE_CHA
     section's blocks, such a section is salted. Blank and null pieces are never wrong. A piece whose section is unknown is judged by its own text. Of copied rows one counts.
     """
     once = one_row_per_key(children.select("chunk_id", "parent_id", "child_idx", "text"), "chunk_id", "parent_id", "child_idx", "text")
-    wanted = once.select("parent_id").distinct()
+    wanted = children.select("parent_id").distinct()
     texts = one_row_per_key(parents.select("parent_id", "text").join(wanted, "parent_id", "left_semi"), "parent_id", "text")
     block_lists = texts.select("parent_id", F.transform(F.filter(blocks(F.col("text")), is_block), _trimmed).alias("whole"))
     hot = hot_keys(children.select("parent_id"), ["parent_id"], rows_per_salt)
