@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.llm.neardup import expanded_pairs, groups, near_duplicates
+from skarn.llm.neardup import class_members, expanded_pairs, groups, items_of, near_duplicates, sketch
 from skarn.plans.tables import spread, table
 
 
-def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     texts = spread(table(spark, sf_dir, "parents", "parent_id", "text"), "parent_id").withColumnRenamed("parent_id", "id")
     paths = table(spark, sf_dir, "files").select(F.col("rel_path").alias("id"))
-    return near_duplicates(texts, paths)
+    return texts, paths
+
+
+def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return near_duplicates(*_tables(spark, sf_dir))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +29,12 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(*_near(spark, sf_dir))
 
 
-QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups}
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of each section and path: the least id with the same shingles or string."""
+    return class_members(sketch(items_of(*_tables(spark, sf_dir)))).select("kind", "id", F.col("rep").alias("class"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p2_classes": p2_classes}
 SQL = {
     "p2_found": """
 WITH p AS (SELECT parent_id AS id, min(text) AS text FROM parents WHERE parent_id IS NOT NULL AND text IS NOT NULL GROUP BY parent_id),
