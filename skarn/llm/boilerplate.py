@@ -97,9 +97,9 @@ def _joined(values: np.ndarray, band: int) -> np.ndarray:
 
 
 def section_lines(parents: DataFrame, bands: int = 1) -> DataFrame:
-    """One row per section with lines that count: (parent_id, rel_path, line_no[], letters[], band0[], ...).
+    """One row per section with lines that count: (parent_id, rel_path, line_no[], letters[], band0[], ...), and values[] with more than one band.
 
-    ``letters`` is a 64-bit hash of a line's letters. Repeated rows stay; rows with null id, path or text have no lines.
+    ``letters`` is a 64-bit hash of a line's letters, ``values`` has its min-hash values as bytes. Repeated rows stay; rows with null id, path or text have no lines.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,10 +122,14 @@ def section_lines(parents: DataFrame, bands: int = 1) -> DataFrame:
             values = band_keys(keys, bands)
             offsets = pa.array(offsets, pa.int32())
             lists = [numbers_array(offsets, np.array(numbers, np.int32)), numbers_array(offsets, hashes)] + [numbers_array(offsets, _joined(values, b)[at]) for b in range(bands)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), *lists], ["parent_id", "rel_path", "line_no", "letters", *(f"band{b}" for b in range(bands))])
+            names = ["parent_id", "rel_path", "line_no", "letters", *(f"band{b}" for b in range(bands))]
+            if bands > 1:
+                lists.append(pa.ListArray.from_arrays(offsets, pa.array([v.tobytes() for v in values], pa.binary()).take(pa.array(at))))
+                names.append("values")
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), *lists], names)
 
     schema = "parent_id string, rel_path string, line_no array<int>, letters array<bigint>" + "".join(f", band{b} array<bigint>" for b in range(bands))
-    return parents.select("parent_id", "rel_path", "text").mapInArrow(run, schema)
+    return parents.select("parent_id", "rel_path", "text").mapInArrow(run, schema + ", values array<binary>" * (bands > 1))
 
 
 def numbers_array(offsets: pa.Array, values: np.ndarray) -> pa.Array:
@@ -165,23 +169,45 @@ def repeated_lines(parents: DataFrame, files: DataFrame, min_paths: int = MIN_PA
     return _keep(lines, repeated, ["source", "letters"]).select("parent_id", "line_no").distinct()
 
 
+def agreeing(pairs: DataFrame, least: int = AGREE) -> DataFrame:
+    """Rows of ``pairs`` of which at least ``least`` min-hash values in the columns values and leader_values are equal; these two are dropped."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in ("values", "leader_values"))
+                yield batch.filter(pa.array((a == b).sum(axis=1) >= least)).select(names)
+
+    names = [c for c in pairs.columns if c not in ("values", "leader_values")]
+    return pairs.mapInArrow(run, pairs.select(*names).schema)
+
+
 def line_clusters(parents: DataFrame, files: DataFrame, min_paths: int = MIN_PATHS) -> tuple[DataFrame, DataFrame]:
     """Near-duplicate clusters: (source, letters, cluster, n_paths), and the sections' lines.
 
-    A cluster is a bucket of one band that stands in at least ``min_paths`` paths of its source; its name is the
-    least letters hash in it. A line is in the frequent cluster with most paths of its buckets (ties: least name).
+    A bucket's leader is the line that stands in most paths (ties: least letters hash), and a line that stands in
+    ``min_paths`` paths leads itself. A cluster has the lines that share a bucket with their leader and agree with it in
+    AGREE min-hash values, and stands in at least ``min_paths`` paths of its source; its name is the leader's letters
+    hash. A line is in the cluster with most paths of its leaders (ties: least name).
     """
     sections = sourced_lines(parents, files, BANDS)
-    parts = [sections.select("source", "rel_path", F.lit(b).alias("band"), F.explode(F.arrays_zip("letters", F.col(f"band{b}").alias("bucket"))).alias("l")).select("source", "band", F.col("l.bucket").alias("bucket"), F.col("l.letters").alias("letters"), F.xxhash64("rel_path").alias("path")) for b in range(BANDS)]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    once = rows.groupBy("source", "band", "bucket", "letters", "path").agg(F.lit(1).alias("one"))
-    by_class = once.groupBy("source", "band", "bucket", "path").agg(F.min("letters").alias("least"))
-    buckets = by_class.groupBy("source", "band", "bucket").agg(F.count(F.lit(1)).alias("n_paths"), F.min("least").alias("cluster")).where(F.col("n_paths") >= min_paths)
-    members = rows.select("source", "band", "bucket", "letters").distinct().join(buckets, ["source", "band", "bucket"])
-    best = members.groupBy("source", "letters").agg(F.min(F.struct(-F.col("n_paths"), F.col("cluster"))).alias("best"))
-    return best.select("source", "letters", F.col("best.cluster").alias("cluster"), (-F.col("best.col1")).alias("n_paths")), sections
+    fields = ["letters", "values", *(f"band{b}" for b in range(BANDS))]
+    lines = sections.select("source", F.xxhash64("rel_path").alias("path"), F.explode(F.arrays_zip(*fields)).alias("l")).select("source", "path", *(F.col(f"l.{f}").alias(f) for f in fields))
+    once = write_stage(lines.select("source", "letters", "path").distinct(), "once")
+    looks = lines.groupBy("source", "letters").agg(*(F.min(f).alias(f) for f in fields[1:]))
+    kinds = write_stage(looks.join(once.groupBy("source", "letters").agg(F.count(F.lit(1)).alias("n")), ["source", "letters"]), "kinds")
+    placed = kinds.select("source", "letters", "n", F.posexplode(F.array(*fields[2:])).alias("band", "bucket"))
+    # paths of a bucket's lines counted more than once if they hold several of them: a bound that loses no cluster
+    buckets = placed.groupBy("source", "band", "bucket").agg(F.sum("n").alias("most"), F.min(F.struct(-F.col("n"), F.col("letters"))).alias("l")).where(F.col("most") >= min_paths).select("source", "band", "bucket", F.col("l.letters").alias("leader"))
+    led = placed.join(buckets, ["source", "band", "bucket"]).select("source", "letters", "leader")
+    own = kinds.where(F.col("n") >= min_paths).select("source", "letters", F.col("letters").alias("leader"))
+    pairs = led.unionByName(own).distinct()
+    leaders = kinds.select("source", F.col("letters").alias("leader"), F.col("values").alias("leader_values"))
+    members = write_stage(agreeing(pairs.join(kinds.select("source", "letters", "values"), ["source", "letters"]).join(leaders, ["source", "leader"])), "members")
+    paths = members.join(once, ["source", "letters"]).select("source", "leader", "path").distinct()
+    frequent = paths.groupBy("source", "leader").agg(F.count(F.lit(1)).alias("n_paths")).where(F.col("n_paths") >= min_paths)
+    best = members.join(frequent, ["source", "leader"]).groupBy("source", "letters").agg(F.min(F.struct((-F.col("n_paths")).alias("less"), "leader")).alias("best"))
+    return best.select("source", "letters", F.col("best.leader").alias("cluster"), (-F.col("best.less")).alias("n_paths")), sections
 
 
 def cleaned_sections(parents: DataFrame, files: DataFrame, min_paths: int = MIN_PATHS) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 
 from skarn.llm import boilerplate as B
@@ -66,3 +68,27 @@ def test_one_source_holds_nearly_all(spark):
     parents = [(f"p{i}", f"f{i}", f"the same notice stands here\nand text {i}", None) for i in range(2000)]
     p, f = spark.createDataFrame(parents, PARENTS), spark.createDataFrame([(x[1], "wiki", 1) for x in parents], FILES)
     assert B.repeated_lines(p, f).count() == 2000
+
+
+def test_lines_that_only_look_a_little_like_a_notice_stay(spark):
+    notice, r = "See the release notes for details of every change in this version of the product", random.Random(1)
+    others = [notice[:58] + "".join(r.choice("abcdefghijklmnop") for _ in range(16)) for _ in range(400)]
+    v = B.band_keys([B.letters_of(x) for x in [notice, *others]], B.BANDS)
+    same = v[1:] == v[0]
+    in_bucket = same.reshape(len(others), B.BANDS, B.BAND_ROWS).all(axis=2).any(axis=1)
+    unlike = [x for x, near, n in zip(others, in_bucket, same.sum(axis=1)) if near and n < B.AGREE][:5]
+    assert len(unlike) == 5
+    parents = [(f"p{i}", f"f{i}", notice, None) for i in range(20)] + [(f"q{i}", f"g{i}", line, None) for i, line in enumerate(unlike)]
+    f = spark.createDataFrame([(x[1], "wiki", 1) for x in parents], FILES)
+    p = spark.createDataFrame(parents, PARENTS)
+    got = {x["parent_id"]: x["n_removed"] for x in B.cleaned_sections(p, f).collect()}
+    assert got == {x[0]: int(x[0].startswith("p")) for x in parents}
+    assert [x["n_paths"] for x in B.line_clusters(p, f)[0].collect()] == [20]
+
+
+def test_clusters_count_paths_of_agreeing_lines_only(spark):
+    values = np.arange(16, dtype=np.uint32)
+    other = values.copy()
+    other[:5] += 100
+    df = spark.createDataFrame([("a", bytearray(values.tobytes()), bytearray(values.tobytes())), ("b", bytearray(other.tobytes()), bytearray(values.tobytes()))], "letters string, values binary, leader_values binary")
+    assert rows(B.agreeing(df)) == [("a",)] and len(rows(B.agreeing(df, 11))) == 2
