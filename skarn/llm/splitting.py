@@ -67,12 +67,6 @@ def is_blank(text: Column) -> Column:
     return ~text.rlike(r"(?U)\S")
 
 
-def just_one_block(text: Column) -> Column:
-    """Whether a text is one code block or table and, but for blanks, nothing else."""
-    parts = F.filter(blocks(text), lambda b: ~is_blank(b))
-    return (F.size(parts) == 1) & is_block(F.element_at(parts, 1))
-
-
 def pieces(text: Column, limit: int = PIECE_CHARS, overlap: int = OVERLAP_CHARS) -> Column:
     """array<struct<text, repeated, atomic>>: the pieces of a text.
 
@@ -98,24 +92,35 @@ def pieces(text: Column, limit: int = PIECE_CHARS, overlap: int = OVERLAP_CHARS)
     return F.flatten(F.transform(F.filter(blocks(text), lambda b: ~is_blank(b)), lambda b: F.when(is_block(b), whole(b)).otherwise(cut(b))))
 
 
+def is_one_block(cut: Column) -> Column:
+    """Whether ``pieces`` left a text as it is: one code block or table and, but for blanks, nothing else."""
+    return F.aggregate(cut, F.lit(0), lambda n, p: n + F.when(p["atomic"], 1).otherwise(2)) == 1
+
+
+def with_pieces(rows: DataFrame, limit: int = PIECE_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
+    """Rows with the column ``pieces`` of their text. A generator of one row, so that it is made once however often it is read."""
+    return rows.select("*", F.inline(F.array(F.struct(pieces(F.col("text"), limit, overlap).alias("pieces")))))
+
+
 def one_row_per_key(rows: DataFrame, key: str, *columns: str) -> DataFrame:
     """One of the copied rows of each key (the least, so that the choice doesn't depend on the order). Null keys are left out."""
     value = F.struct(*columns)
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(value).alias("_v")).select(key, "_v.*")
 
 
-def oversized_sections(parents: DataFrame, limit: int = SECTION_CHARS) -> DataFrame:
-    """Sections (parent_id, rel_path, parent_idx, text) over the limit that the splitter would cut: text longer than ``limit`` that isn't just one code block or table.
+def oversized_sections(parents: DataFrame, limit: int = SECTION_CHARS, piece: int = PIECE_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
+    """Sections over the limit with what the splitter makes of them: (parent_id, rel_path, parent_idx, text, pieces).
 
+    A section counts if its text is longer than ``limit`` and the splitter does not leave it as one code block or table.
     Of copied rows one counts; null and empty texts are never over the limit.
     """
     long = parents.where(F.col("parent_id").isNotNull() & (F.length("text") > limit)).select("parent_id", "rel_path", "parent_idx", "text")
-    return one_row_per_key(long, "parent_id", "rel_path", "parent_idx", "text").where(~just_one_block(F.col("text")))
+    return with_pieces(one_row_per_key(long, "parent_id", "rel_path", "parent_idx", "text"), piece, overlap).where(~is_one_block(F.col("pieces")))
 
 
-def split_sections(sections: DataFrame, limit: int = PIECE_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
-    """The pieces of sections (parent_id, rel_path, parent_idx, text): one row per piece with chunk_id and child_idx from 0."""
-    return sections.select("parent_id", "rel_path", "parent_idx", F.posexplode(pieces(F.col("text"), limit, overlap)).alias("child_idx", "p")).select(
+def split_sections(sections: DataFrame) -> DataFrame:
+    """One row per piece of sections (parent_id, rel_path, parent_idx, pieces), with chunk_id and child_idx from 0."""
+    return sections.select("parent_id", "rel_path", "parent_idx", F.posexplode("pieces").alias("child_idx", "p")).select(
         F.sha1(F.concat_ws("::", "rel_path", F.col("parent_idx").cast("string"), F.col("child_idx").cast("string"))).alias("chunk_id"),
         "parent_id", "rel_path", "parent_idx", "child_idx",
         F.col("p.text").alias("text"), F.col("p.repeated").alias("n_repeated"), F.col("p.atomic").alias("atomic"),
@@ -126,35 +131,41 @@ def _trimmed(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\A\s+|\s+\z", "")
 
 
-def _part_of_block(text: Column, whole: Column) -> Column:
-    """Whether a piece holds only a part of a code block or table; ``whole``: the trimmed blocks of its section, null if that is unknown."""
-    own = F.transform(F.filter(blocks(text), is_block), _trimmed)
+def _atoms(cut: Column) -> Column:
+    """The code blocks and tables among pieces."""
+    return F.transform(F.filter(cut, lambda p: p["atomic"]), lambda p: p["text"])
+
+
+def _part_of_block(text: Column, cut: Column, whole: Column) -> Column:
+    """Whether a stored piece holds only a part of a code block or table; ``cut``: what the splitter makes of the piece; ``whole``: the trimmed blocks of its section, null if that is unknown."""
+    atoms = _atoms(cut)
     known = F.coalesce(whole, F.array().cast("array<string>"))
     inside = lambda t: F.exists(known, lambda b: (b != t) & F.contains(b, t)) & ~F.array_contains(known, t)
-    opened = F.exists(F.filter(blocks(text), is_block), lambda b: b.rlike(_UNCLOSED) & ~F.array_contains(known, _trimmed(b)))
+    opened = F.exists(atoms, lambda b: b.rlike(_UNCLOSED) & ~F.array_contains(known, _trimmed(b)))
     tables = F.regexp_count(F.lower(text), F.lit("<table\\b")) != F.regexp_count(F.lower(text), F.lit("</table>"))
-    html = tables & ~F.array_contains(known, _trimmed(text)) & ~F.exists(own, lambda b: b.rlike(r"(?i)\A[ ]{0,3}(`{3}|~{3})"))
+    html = tables & ~F.array_contains(known, _trimmed(text)) & ~F.exists(atoms, lambda b: b.rlike(r"(?i)\A[ ]{0,3}(`{3}|~{3})"))
     lost = F.exists(F.filter(blocks(text), lambda b: ~is_block(b)), lambda b: b.rlike(r"(?m)\A(?:[ \t]*\|[^\n]*\|[ \t]*\n){2,}\z")) & whole.isNull()
-    return inside(_trimmed(text)) | F.exists(own, inside) | opened | html | lost
+    return inside(_trimmed(text)) | F.exists(atoms, lambda b: inside(_trimmed(b))) | opened | html | lost
 
 
 def audit_pieces(children: DataFrame, parents: DataFrame, limit: int = PIECE_CHARS, overlap: int = OVERLAP_CHARS, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """Pieces of a former run that are wrongly cut: (chunk_id, parent_id, too_long, part, no_repeat, mid_word).
 
-    A piece is compared with each piece of its section whose child_idx is one lower; the two meet in an equi-join on
+    The splitter cuts both the section, for its code blocks and tables, and the stored piece itself: a piece of more
+    than limit and overlap is too long if the splitter would cut it. A piece is compared with each piece of its section whose child_idx is one lower; the two meet in an equi-join on
     (parent_id, child_idx), so one section with very many pieces is spread like any other rows; where pieces meet their
     section's blocks, such a section is salted. Blank and null pieces are never wrong. A piece whose section is unknown is judged by its own text. Of copied rows one counts.
     """
     once = one_row_per_key(children.select("chunk_id", "parent_id", "child_idx", "text"), "chunk_id", "parent_id", "child_idx", "text")
     wanted = children.select("parent_id").distinct()
     texts = one_row_per_key(parents.select("parent_id", "text").join(wanted, "parent_id", "left_semi"), "parent_id", "text")
-    block_lists = texts.select("parent_id", F.transform(F.filter(blocks(F.col("text")), is_block), _trimmed).alias("whole"))
+    block_lists = with_pieces(texts, limit, overlap).select("parent_id", F.transform(_atoms(F.col("pieces")), _trimmed).alias("whole"))
     hot = hot_keys(children.select("parent_id"), ["parent_id"], rows_per_salt)
     solid = once.where(F.col("text").isNotNull() & ~is_blank(F.col("text")))
     judged = (
-        salted(solid, hot, ["parent_id"], F.col("chunk_id"))
+        with_pieces(salted(solid, hot, ["parent_id"], F.col("chunk_id")), limit + overlap, 0)
         .join(replicated(block_lists, hot, ["parent_id"]), ["parent_id", "salt"], "left")
-        .select("chunk_id", "parent_id", "child_idx", "text", just_one_block(F.col("text")).alias("one_block"), _part_of_block(F.col("text"), F.col("whole")).alias("part"))
+        .select("chunk_id", "parent_id", "child_idx", "text", is_one_block(F.col("pieces")).alias("one_block"), _part_of_block(F.col("text"), F.col("pieces"), F.col("whole")).alias("part"))
     )
     plain = ~F.col("one_block") & ~F.col("part")
     before = judged.where(plain).select("parent_id", (F.col("child_idx") + 1).alias("child_idx"), F.right("text", F.lit(overlap)).alias("end"), (F.length("text") > overlap).alias("gives"))

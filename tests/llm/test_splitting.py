@@ -57,7 +57,7 @@ def test_blocks_and_pieces(spark):
 
     collect()
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    out = df.select("i", P.blocks(F.col("t")).alias("b"), P.pieces(F.col("t")).alias("p"), P.just_one_block(F.col("t")).alias("one")).collect()
+    out = df.select("i", P.blocks(F.col("t")).alias("b"), P.pieces(F.col("t")).alias("p"), P.is_one_block(P.pieces(F.col("t"))).alias("one")).collect()
     for r in out:
         text, want = texts[r["i"]], _blocks(texts[r["i"]])
         assert r["b"] == [b for _, b in want]
@@ -138,3 +138,14 @@ def test_audit(spark):
     assert found == {"norepeat": ("no_repeat",), "midword": ("mid_word",), "part1": ("part",), "part2": ("part",), "inner": ("part",), "long": ("too_long",), "lost": ("part",)}
     assert P.audit_pieces(children.limit(0), parents).count() == 0
     assert rows(P.audit_pieces(children, parents, rows_per_salt=2), "chunk_id") == sorted((c,) for c in found)  # sections of more pieces are salted
+
+
+def test_found_rows_come_through_the_splitter(spark, monkeypatch):
+    data = [("a", "x", 0, _text(6000), "h"), ("b", "x", 1, " " * 5000, "h")]
+    parents = spark.createDataFrame(data, SECTION)
+    children = spark.createDataFrame([("long", "a", "x", 0, 0, None, _text(700, 3)), ("part", "a", "x", 0, 5, None, "```\n" + "z();\n" * 20)], CHILD)
+    assert rows(P.oversized_sections(parents), "parent_id") == [("a",), ("b",)]
+    assert rows(P.audit_pieces(children, parents), "chunk_id") == [("long",), ("part",)]
+    monkeypatch.setattr(P, "pieces", lambda text, *a: F.array(F.struct(F.lit("```").alias("text"), F.lit(0).alias("repeated"), F.lit(True).alias("atomic"))))
+    assert P.oversized_sections(parents).count() == 0
+    assert "long" not in {r["chunk_id"] for r in P.audit_pieces(children, parents).collect()}
