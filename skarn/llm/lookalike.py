@@ -27,15 +27,27 @@ LOOKALIKE_LETTERS = {
     # Greek
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ν": "v", "ο": "o", "ϲ": "c", "Ϲ": "C", "ϳ": "j", "Ϳ": "J",
     # Cyrillic
-    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "У": "Y", "Ѕ": "S", "І": "I", "Ј": "J", "Ԛ": "Q", "Ԝ": "W", "Ү": "Y", "Ӏ": "I",
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l", "ѵ": "v", "ү": "y",
+    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "У": "Y", "Ѕ": "S", "І": "I", "Ј": "J", "Ԛ": "Q", "Ԝ": "W", "Ү": "Y", "Ӏ": "I", "Ѵ": "V", "Ԍ": "G", "Ӕ": "Æ", "Ә": "Ə",
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l", "ѵ": "v", "ү": "y", "ӕ": "æ", "ә": "ə",
     # Armenian, Latin and Cherokee
-    "օ": "o", "ո": "n", "ս": "u", "հ": "h", "Տ": "S", "Լ": "L", "Օ": "O", "ɡ": "g", "ɑ": "a", "Ꭺ": "A", "Ꭼ": "E", "Ꭻ": "J", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮯ": "C", "Ꮲ": "P", "Ꮪ": "S", "Ꮓ": "Z", "Ꮮ": "L", "Ꭱ": "R", "Ꭲ": "T", "Ꮩ": "V", "Ꭰ": "D", "Ꮐ": "G", "Ᏼ": "B", "Ꮶ": "K",
+    "օ": "o", "ո": "n", "ս": "u", "հ": "h", "Տ": "S", "Լ": "L", "Օ": "O", "ɡ": "g", "ɑ": "a", "Ꭺ": "A", "Ꭼ": "E", "Ꭻ": "J", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮯ": "C", "Ꮲ": "P", "Ꮪ": "S", "Ꮓ": "Z", "Ꮮ": "L", "Ꭱ": "R", "Ꭲ": "T", "Ꮩ": "V", "Ꭰ": "D", "Ꮐ": "G", "Ᏼ": "B", "Ꮶ": "K", "Ꭵ": "i", "Ꮢ": "R", "Ꮤ": "W", "Ꮥ": "S", "Ꮷ": "d", "µ": "μ",
+    # Coptic
+    "Ⲁ": "A", "Ⲃ": "B", "Ⲉ": "E", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "ⲟ": "o", "Ⲣ": "P", "ⲣ": "p", "Ⲥ": "C", "ⲥ": "c", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X",
+    # Lisu
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+    # Canadian syllabics
+    "ᗅ": "A", "ᗷ": "B", "ᑕ": "C", "ᗪ": "D", "ᖴ": "F", "ᕼ": "H", "ᒍ": "J", "ᒪ": "L", "ᑭ": "P", "ᖇ": "R", "ᑌ": "U", "ᐯ": "V", "᙭": "X", "ᑯ": "d", "ᑲ": "b",
 }
+# First code points of the mathematical alphabets of plain upright shape (26 capitals, 26 small letters each), and of their digits.
+_PLAIN_ALPHABETS, _PLAIN_DIGITS = (0x1D5A0, 0x1D670), (0x1D7E2, 0x1D7F6)
+# Blanks that are no space separators, and characters without width that are no format characters.
+_MORE_BLANKS, _MORE_WIDTHLESS = {0x2800, 0x3164, 0xFFA0}, {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
 # Hyphens of the shape of the ASCII hyphen.
-LOOKALIKE_HYPHENS = {"‐": "-", "‑": "-", "˗": "-", "⁃": "-", "﹣": "-"}
+LOOKALIKE_HYPHENS = {"‐": "-", "‑": "-", "˗": "-", "⁃": "-", "﹣": "-", "֊": "-"}
 # Order controls (they have no width but move what is seen) and the joiners that can change it.
 _ORDER_CONTROLS = set("‪‫‬‭‮⁦⁧⁨⁩")
+#: Those that turn the order to right-to-left; without them, and without such letters, the others move nothing.
+_TURNING = set("\u202b\u202e\u2067")
 _NON_JOINER, _JOINER = "‌", "‍"
 #: Decomposition tags under which a character only differs in width or joining.
 _SAME_LOOK_TAGS = {"<wide>", "<narrow>", "<noBreak>", "<small>", "<initial>", "<medial>", "<final>", "<isolated>", "<vertical>"}
@@ -48,10 +60,12 @@ def _folded(ch: str) -> str | None:
     if ch in LOOKALIKE_HYPHENS:
         return "-"
     category, o = unicodedata.category(ch), ord(ch)
-    if category == "Zs":
+    if category == "Zs" or o in _MORE_BLANKS:
         return " "
-    if category == "Cf" and ch not in _ORDER_CONTROLS or o == 0x034F or 0xFE00 <= o <= 0xFE0F or 0xE0100 <= o <= 0xE01EF:
+    if category == "Cf" and ch not in _ORDER_CONTROLS or o in _MORE_WIDTHLESS:
         return ""
+    if any(first <= o < first + 52 for first in _PLAIN_ALPHABETS) or any(first <= o < first + 10 for first in _PLAIN_DIGITS):
+        return unicodedata.normalize("NFKD", ch)
     tag, *codes = (unicodedata.decomposition(ch) or "-").split()
     joined = tag == "<compat>" and category[0] == "L" and len(codes) > 1 or 0x2160 <= o <= 0x217F
     if tag in _SAME_LOOK_TAGS or joined:
@@ -91,6 +105,11 @@ def _tables() -> tuple[dict[int, str], re.Pattern]:
     return table, re.compile(f"(?:[^{marks}])?[{marks}]+", re.S)
 
 
+def _moves_nothing(text: str) -> bool:
+    """Whether the order controls of a text can't be seen: nothing in it runs from right to left."""
+    return not any(c in _TURNING or unicodedata.bidirectional(c) in ("R", "AL", "AN") for c in text)
+
+
 def _canonical(segment: re.Match) -> str:
     """The canonical form of one unstable segment."""
     table, _ = _tables()
@@ -112,12 +131,15 @@ def look(text: str | None) -> str | None:
     """The one form of all texts that look like this one. Null stays null; ASCII and empty texts stay as they are.
 
     Folded: full and half width, composed and combining accents, characters without width (joiners stay where
-    pictographs or joining scripts are on both sides), all blanks of one space's kind, ligatures and presentation
-    forms, Roman numeral signs, look-alike letters and hyphens. Kept: case, accents, raised and circled digits,
+    pictographs or joining scripts are on both sides, order controls where something runs from right to left), all
+    blanks of one space's kind, ligatures and presentation forms, Roman numeral signs, plain upright mathematical
+    letters, look-alike letters and hyphens. Kept: case, accents, raised and circled digits,
     number of blanks and line breaks, all other marks. Applying it twice changes nothing more.
     """
     if text is None or text.isascii():
         return text
+    if not _ORDER_CONTROLS.isdisjoint(text) and _moves_nothing(text):
+        text = text.translate({ord(c): None for c in _ORDER_CONTROLS})
     pattern = _tables()[1]
     out = pattern.sub(_canonical, text)
     if not unicodedata.is_normalized("NFC", out):  # a removed character had kept a letter and its mark apart

@@ -53,3 +53,11 @@ def test_pairs(spark):
 def test_very_long_text():
     text = ("Ünïcode ｔｅｘｔ with é " * 50_000)
     assert look(text) == unicodedata.normalize("NFC", text.replace("ｔｅｘｔ", "text"))
+
+
+def test_letters_of_other_scripts_and_blocks():
+    assert look("ꓮꓐꓢ ⲟⲣⲥ ᗷᒪ Ѵ Ԍ 𝖠𝚋𝟣") == "ABS opc BL V G Ab1"
+    assert look("𝐀𝑏 ℕ") == "𝐀𝑏 ℕ"  # bold, italic and double-struck letters are seen
+    assert look("a⁦b⁩ c‪d‬") == "ab cd"
+    assert look("a‮b‬") == "a‮b‬" and look("⁧אב⁩ a") == "⁧אב⁩ a"
+    assert look("a⠀b᠋") == "a b"
