@@ -6,17 +6,18 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skarn.llm.tokens import TOKENIZER_PATH, counted
 from skarn.plans.stage import write_stage
 
-#: Parts of a source, by hash, to which its last, fractional repetition is exact.
-PARTS = 4096
+#: A record's draw is a hash of so many bits; the fraction of a source is cut within it, so many bits at a time.
+DRAW_BITS, STEP_BITS = 24, 8
 
 
 @dataclass(frozen=True)
 class SourcePlan:
-    """What is taken from one source: ``whole`` uses of each record, and one more of the records in the first ``cut`` parts."""
+    """What is taken from one source: ``whole`` uses of each record, and one more of the records drawn below ``cut``."""
 
     source: str
     target_share: float
@@ -55,27 +56,50 @@ def largest_exact_total(weights: dict[str, float], limits: dict[str, float]) ->
     return min((limits[s] * weight / w for s, w in usable.items()), default=0.0)
 
 
+def _part_sums(records: DataFrame, prefixes: dict[str, int], bits: int) -> dict[str, list[int]]:
+    """For each source, the tokens in each of the parts of the draws that begin with its prefix of ``bits`` bits. At most 2^STEP_BITS numbers for each source come to the driver."""
+    at = records.sparkSession.createDataFrame(list(prefixes.items()), "source string, prefix long")
+    shift = DRAW_BITS - bits - STEP_BITS
+    inside = records.join(F.broadcast(at), "source").where(F.shiftright("draw", shift + STEP_BITS) == F.col("prefix"))
+    part = F.shiftright("draw", shift).bitwiseAND(F.lit((1 << STEP_BITS) - 1))
+    sums = {s: [0] * (1 << STEP_BITS) for s in prefixes}
+    for source, i, n in inside.groupBy("source", part.alias("part")).agg(F.sum("n_tokens")).collect():
+        sums[source][i] = n
+    return sums
+
+
 def plan_mix(records: DataFrame, targets: list[tuple[str, float, int]], total_tokens: float | None = None, of_available: float | None = None) -> list[SourcePlan]:
-    """Plan the uses for a total: given in tokens, or as a multiple of what the sources have, or the largest exact one. ``records`` has (source, part, n_tokens). Only sums per source and part come to the driver: at most PARTS numbers for each target source."""
+    """Plan the uses for a total: given in tokens, or as a multiple of what the sources have, or the largest exact one. ``records`` has (source, draw, n_tokens), one small row per source ``targets``.
+
+    The fraction of a source is the records drawn first, up to the wanted number of tokens: the cut is narrowed by sums
+    of ever smaller parts of the draws.
+    """
+    if not targets:
+        return []
     wanted = records.where(F.col("source").isin([t[0] for t in targets]))
-    sums: dict[str, list[int]] = {t[0]: [0] * PARTS for t in targets}
-    for source, part, n in wanted.groupBy("source", "part").agg(F.sum("n_tokens")).collect():
-        sums[source][part] = n
+    sums = _part_sums(wanted, {t[0]: 0 for t in targets}, 0)
     weights, tokens = {t[0]: float(t[1]) for t in targets}, {s: sum(p) for s, p in sums.items()}
     limits = {t[0]: float(tokens[t[0]] * max(0, t[2])) for t in targets}
     total = total_tokens if total_tokens is not None else of_available * sum(tokens.values()) if of_available is not None else largest_exact_total(weights, limits)
     filled = water_fill(weights, limits, total)
-    plans = []
-    for source, share, repeats in targets:
-        whole, rest = divmod(filled[source], tokens[source]) if tokens[source] else (0, 0.0)
-        cut, reached = 0, 0
-        if whole >= repeats:
-            whole, rest = max(0, repeats), 0.0
-        while cut < PARTS and reached + sums[source][cut] / 2 <= rest and rest > 0:
-            reached += sums[source][cut]
-            cut += 1
-        plans.append(SourcePlan(source, float(share), int(repeats), tokens[source], filled[source], int(whole), cut))
-    return plans
+    whole, rest, cut = {}, {}, {}
+    for source, _, repeats in targets:
+        uses, more = divmod(filled[source], tokens[source]) if tokens[source] else (0, 0.0)
+        whole[source], rest[source] = (max(0, repeats), 0.0) if uses >= repeats else (int(uses), more)
+        cut[source] = 0
+    open_ = {s for s in rest if rest[s] > 0}
+    for bits in range(0, DRAW_BITS, STEP_BITS):
+        if bits:
+            sums = _part_sums(wanted, {s: cut[s] for s in open_}, bits) if open_ else {}
+        for source in sorted(open_):
+            part = 0
+            while part < (1 << STEP_BITS) - 1 and sums[source][part] <= rest[source]:
+                rest[source] -= sums[source][part]
+                part += 1
+            cut[source] = cut[source] << STEP_BITS | part
+            if bits + STEP_BITS == DRAW_BITS and sums[source][part] / 2 <= rest[source]:
+                cut[source] += 1
+    return [SourcePlan(s, float(share), int(repeats), tokens[s], filled[s], whole[s], cut[s]) for s, share, repeats in targets]
 
 
 def mixed(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None, of_available: float | None = None, seed: int = 7, tokenizer: str = TOKENIZER_PATH) -> tuple[DataFrame, DataFrame]:
@@ -92,16 +116,17 @@ def mixed(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None
     limits = {r[0]: (float(r[1] or 0), int(r[2] or 0)) for r in targets.where(F.col("source").isNotNull()).select("source", "target_share", "max_repeats").collect()}
     rows = sorted((s, *v) for s, v in limits.items())
     named = docs.where(F.col("source").isin([r[0] for r in rows]))
-    tokens = write_stage(counted(named, ["doc_id", "source"], "text", tokenizer).withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(PARTS)).cast("int")), "tokens")
+    tokens = write_stage(counted(named, ["doc_id", "source"], "text", tokenizer).withColumn("draw", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << DRAW_BITS)).cast("long")), "tokens")
     plans = plan_mix(tokens, rows, total_tokens, of_available)
     table = spark.createDataFrame([(p.source, p.target_share, p.max_repeats, p.source_tokens, p.whole, p.cut) for p in plans], "source string, target_share double, max_repeats int, source_tokens long, whole int, cut int")
-    uses = tokens.join(table.select("source", "whole", "cut"), "source").select("doc_id", "source", "n_tokens", (F.col("whole") + (F.col("part") < F.col("cut")).cast("int")).alias("uses"))
+    uses = tokens.join(F.broadcast(table.select("source", "whole", "cut")), "source").select("doc_id", "source", "n_tokens", (F.col("whole") + (F.col("draw") < F.col("cut")).cast("int")).alias("uses"))
     sums = uses.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("used_tokens"))
-    total = uses.agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("n")).first()["n"] or 0
+    # one row per target source
+    total = F.sum("used_tokens").over(Window.partitionBy())
     shares = table.join(sums, "source", "left").select(
         "source", "target_share", "max_repeats", "source_tokens",
         F.coalesce("used_tokens", F.lit(0)).alias("used_tokens"),
-        F.when(F.lit(total) > 0, F.coalesce("used_tokens", F.lit(0)) / F.lit(float(total or 1))).otherwise(0.0).alias("actual_share"),
+        F.when(total > 0, F.coalesce("used_tokens", F.lit(0)) / total).otherwise(0.0).alias("actual_share"),
         F.when(F.col("source_tokens") > 0, F.coalesce("used_tokens", F.lit(0)) / F.col("source_tokens")).otherwise(0.0).alias("epochs"),
     )
     return uses, shares

@@ -1,11 +1,11 @@
 """Filling containers of fixed capacity by lexical retrieval.
 
-Documents are range-partitioned and sorted by source, so that related ones are
-neighbours. Each run of BLOCK_DOCS documents is a shard with its own BM25 index
-over tokens. A shard's longest unused item seeds a container; the unused
-neighbours that fit enter it in the order of their score, and towards the end
-only those that nearly fill the gap compete. What a shard cannot fill well is
-carried into the next shard of the partition.
+1. Documents are put into shards of about SHARD_DOCS: a large source is cut by a hash, small ones share a shard. A shard
+   depends on the data only, so that any partitioning gives the same containers.
+2. Each shard has an inverted index of its tokens. The longest unused item seeds a container; the index returns the BM25
+   scores of the seed's neighbours, and those that are unused and fit enter in the order of their score. Towards the end
+   only those that nearly fill the gap compete, since little unused room is the aim.
+3. Items of badly filled containers go through a second round: they are pooled into shards anew and all are packed.
 """
 
 from __future__ import annotations
@@ -14,51 +14,64 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skarn.llm.tokens import TOKENIZER_PATH, encoder
+from skarn.plans.stage import write_stage
 
-#: Documents of a shard, tokens at which a shard ends earlier, and the fill below which a container's items are carried on.
-BLOCK_DOCS, BLOCK_TOKENS, CARRY_BELOW = 512, 4_000_000, 0.97
-#: BM25.
-K1, B = 1.2, 0.75
+#: Documents of a shard; tokens at which a shard is worked off earlier; the fill below which a container's items get a second round.
+SHARD_DOCS, SHARD_TOKENS, AGAIN_BELOW = 512, 4_000_000, 0.97
+#: BM25, and the part of a shard's documents above which a token tells nothing and has no postings.
+K1, B, COMMON = 1.2, 0.75, 0.25
 #: Towards the end of a container only items within this part of the largest fitting one compete.
 NEARLY = 0.95
-
-_FIELDS = ("pack_name", "container_id", "slot", "doc_id", "piece", "first_token", "n_tokens")
-
-
-def bm25_scores(terms: list[np.ndarray], counts: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
-    """[n, n] scores: row i has each document's BM25 score for the terms of document i. A term of one document only can't match another and has no column."""
-    n = len(terms)
-    if not n:
-        return np.zeros((0, 0), np.float32)
-    flat = np.concatenate(terms)
-    used, column, frequency = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = np.cumsum(frequency > 1) - 1
-    keep = frequency[column] > 1
-    rows, cols = np.repeat(np.arange(n), [len(t) for t in terms])[keep], shared[column[keep]]
-    tf = np.concatenate(counts).astype(np.float32)[keep]
-    idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5)).astype(np.float32)[frequency > 1]
-    mean = max(1.0, float(sizes.mean()))
-    norm = (K1 * (1 - B + B * sizes / mean)).astype(np.float32)
-    query, weight = np.zeros((n, int((frequency > 1).sum())), np.float32), np.zeros((n, int((frequency > 1).sum())), np.float32)
-    query[rows, cols] = 1
-    weight[rows, cols] = idf[cols] * tf * (K1 + 1) / (tf + norm[rows])
-    return query @ weight.T
-
-
-def fill(sizes: np.ndarray, owner: np.ndarray, scores: np.ndarray, capacity: int) -> list[list[int]]:
-    """Containers as lists of item numbers; each item is in one. ``sizes`` are at most ``capacity``; ``owner`` is the document of an item."""
+#: Sources that may be broadcast (5 MB); beyond that the join shuffles.
+MAX_BROADCAST_SOURCES = 100_000
+
+
+class InvertedIndex:
+    """Postings (document, weight) of each token of a shard, for BM25 scores of documents as queries."""
+
+    def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray]) -> None:
+        self.n = n = len(terms)
+        flat = np.concatenate(terms) if n else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(n), [len(t) for t in terms])
+        tf = np.concatenate(counts).astype(np.float64) if n else np.zeros(0)
+        sizes = np.bincount(owner, tf, n)
+        norm = K1 * (1 - B + B * sizes / max(1.0, float(sizes.mean()) if n else 1.0))
+        order = np.argsort(flat, kind="stable")
+        used, start, df = np.unique(flat[order], return_index=True, return_counts=True)
+        # a token of one document only can't match another
+        useful = (df > 1) & (df <= max(2, COMMON * n))
+        keep = np.repeat(useful, df)
+        self.docs = owner[order][keep]
+        idf = np.repeat(np.log1p((n - df + 0.5) / (df + 0.5)), df)[keep]
+        weight = tf[order][keep]
+        self.weights = idf * weight * (K1 + 1) / (weight + norm[self.docs])
+        self.starts, self.stops = np.cumsum(df[useful]) - df[useful], np.cumsum(df[useful])
+        self.lists = np.searchsorted(used[useful], flat)  # of each document's tokens, in order
+        self.known = np.repeat(useful, df)[np.argsort(order, kind="stable")] if n else np.zeros(0, bool)
+        self.first = np.concatenate([[0], np.cumsum([len(t) for t in terms])]).astype(np.int64)
+
+    def scores(self, doc: int) -> np.ndarray:
+        """Each document's score for the tokens of one: the sum over the postings of its tokens."""
+        mine = slice(self.first[doc], self.first[doc + 1])
+        lists = self.lists[mine][self.known[mine]]
+        start, n = self.starts[lists], self.stops[lists] - self.starts[lists]
+        at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.bincount(self.docs[at], self.weights[at], self.n)
+
+
+def fill(sizes: np.ndarray, owner: np.ndarray, index: InvertedIndex, capacity: int) -> list[list[int]]:
+    """Containers as lists of item numbers; each item is in one. ``sizes`` are at most ``capacity``; ``owner`` is the document of an item. Ties go to the first item."""
     free = np.ones(len(sizes), bool)
     out = []
     for seed in np.argsort(-sizes, kind="stable"):
         if not free[seed]:
             continue
-        box, gap = [int(seed)], capacity - int(sizes[seed])
+        box, gap, relevance = [int(seed)], capacity - int(sizes[seed]), None
         free[seed] = False
-        relevance = scores[owner[seed]]
         while gap > 0:
             fits = np.flatnonzero(free & (sizes <= gap))
             if not len(fits):
@@ -66,7 +79,11 @@ def fill(sizes: np.ndarray, owner: np.ndarray, scores: np.ndarray, capacity: int
             longest = sizes[fits].max()
             if gap < 2 * longest:
                 fits = fits[sizes[fits] >= NEARLY * longest]
-            best = int(fits[np.argmax(relevance[owner[fits]])])
+            if len(fits) > 1:
+                relevance = np.round(index.scores(owner[seed]), 6) if relevance is None else relevance
+                best = int(fits[np.argmax(relevance[owner[fits]])])
+            else:
+                best = int(fits[0])
             box.append(best)
             free[best] = False
             gap -= int(sizes[best])
@@ -74,29 +91,127 @@ def fill(sizes: np.ndarray, owner: np.ndarray, scores: np.ndarray, capacity: int
     return out
 
 
-class _Shard:
-    """Documents waiting to be packed for one capacity: ids, term vectors and token ranges of their items."""
+def _shard(docs: DataFrame) -> DataFrame:
+    """(shard, place, doc_id, text): documents with their shard and their place in its order."""
+    sizes = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    large = write_stage(sizes.where(F.col("n") > SHARD_DOCS).select(F.col("source").alias("_source"), F.ceil(F.col("n") / SHARD_DOCS).alias("parts")), "large")
+    pooled = sizes.where(F.col("n") <= SHARD_DOCS).agg(F.sum("n")).first()[0] or 0
+    near = F.broadcast if large.count() <= MAX_BROADCAST_SOURCES else (lambda side: side)
+    place = F.xxhash64("doc_id", "text")
+    rows = docs.join(near(large), F.col("source").eqNullSafe(F.col("_source")), "left")
+    source = F.xxhash64("source")
+    shard: Column = F.when(F.col("parts").isNull(), F.concat(F.lit("p"), F.pmod(source, F.lit(-(-pooled // SHARD_DOCS) or 1)).cast("string")))
+    shard = shard.otherwise(F.concat_ws(".", F.hex(source), F.pmod(place, F.col("parts")).cast("string")))
+    return rows.select(shard.alias("shard"), place.alias("place"), "doc_id", "text")
+
+
+_ROW = "pack_name string, container_id string, slot int, doc_id {kind}, piece int, first_token bigint, n_tokens bigint"
+_LEFT = _ROW + ", shard string, terms array<int>, counts array<int>"
+
+
+class _Out:
+    """Rows of a task's output, as record batches."""
+
+    def __init__(self, id_type: pa.DataType, left: bool) -> None:
+        self.rows: list[tuple] = []
+        types = [pa.string(), pa.string(), pa.int32(), id_type, pa.int32(), pa.int64(), pa.int64()]
+        names = ["pack_name", "container_id", "slot", "doc_id", "piece", "first_token", "n_tokens"]
+        if left:
+            types, names = types + [pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())], [*names, "shard", "terms", "counts"]
+        self.schema = pa.schema(zip(names, types))
+
+    def add(self, *row) -> None:
+        self.rows.append(row + (None,) * (len(self.schema) - len(row)))
+
+    def batch(self) -> pa.RecordBatch:
+        columns = list(zip(*self.rows)) or [()] * len(self.schema)
+        self.rows = []
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, self.schema)], schema=self.schema)
+
+
+def _boxes(name: str, capacity: int, label: str, items: list[tuple], index: InvertedIndex, out: _Out, again: str | None) -> None:
+    """Pack the items (document of the index, doc_id, piece, first_token, n_tokens, terms, counts) of one shard; with ``again``, items of badly filled containers are handed on with that shard."""
+    if not items:
+        return
+    sizes, owner = np.array([x[4] for x in items], np.int64), np.array([x[0] for x in items], np.int64)
+    for number, box in enumerate(fill(sizes, owner, index, capacity)):
+        if again is not None and sizes[box].sum() < AGAIN_BELOW * capacity:
+            for k in box:
+                _, doc_id, piece, first, n, terms, counts = items[k]
+                out.add(name, None, -1, doc_id, piece, first, n, again, terms, counts)
+        else:
+            for slot, k in enumerate(box):
+                out.add(name, f"{name}-{label}-{number}", slot, *items[k][1:5])
+
+
+def _first_round(sharded: DataFrame, limits: list[tuple[str, int]], tokenizer: str, kind: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, out, shard, block, tokens, part = encoder(tokenizer).encode_ordinary, None, None, [], 0, 0
+
+        def work() -> Iterator[pa.RecordBatch]:
+            label = f"{shard}.{part}"
+            index = InvertedIndex([d[1] for d in block], [d[2] for d in block])
+            for name, capacity in limits:
+                items = []
+                for i, (doc_id, terms, counts, n) in enumerate(block):
+                    if n == 0:
+                        out.add(name, None, 0, doc_id, 0, 0, 0)
+                        continue
+                    full, rest = divmod(n, capacity) if n > capacity else (0, n)
+                    for piece in range(full):  # full containers of their own
+                        out.add(name, f"{name}-{label}-d{i}.{piece}", 0, doc_id, piece, piece * capacity, capacity)
+                    if rest:
+                        items.append((i, doc_id, full, full * capacity, rest, terms, counts))
+                _boxes(name, capacity, label, items, index, out, shard)
+            yield out.batch()
+
+        for batch in batches:
+            out = out or _Out(batch.schema.field(1).type, True)
+            for name, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if block and (name != shard or len(block) >= 4 * SHARD_DOCS or tokens >= SHARD_TOKENS):
+                    yield from work()
+                    block, tokens, part = [], 0, part + 1 if name == shard else 0
+                shard = name
+                ids = np.array(encode(text) if text else [], np.int32)
+                terms, counts = np.unique(ids, return_counts=True)
+                block.append((doc_id, terms, counts.astype(np.int32), len(ids)))
+                tokens += len(ids)
+        if block:
+            yield from work()
+
+    ordered = sharded.repartition("shard").sortWithinPartitions("shard", "place", "doc_id").select("shard", "doc_id", "text")
+    return ordered.mapInArrow(run, _LEFT.format(kind=kind))
+
 
-    def __init__(self, name: str, capacity: int) -> None:
-        self.name, self.capacity = name, capacity
-        self.carried: list[tuple] = []
+def _second_round(left: DataFrame, limits: list[tuple[str, int]], kind: str) -> DataFrame:
+    capacities = dict(limits)
 
-    def pack(self, docs: list[tuple], scores: np.ndarray | None, last: bool) -> tuple[list[tuple], list[tuple]]:
-        """Rows of the filled containers. ``docs``: (id, terms, counts, items of this capacity) in the order of ``scores``; items that were not placed well come back in the second list."""
-        items = [(i, piece, first, n) for i, d in enumerate(docs) for piece, first, n in d[3]]
-        if not items:
-            return [], []
-        sizes, owner = np.array([x[3] for x in items]), np.array([x[0] for x in items])
-        rows, kept = [], {}
-        for box in fill(sizes, owner, scores, self.capacity):
-            if not last and sizes[box].sum() < CARRY_BELOW * self.capacity and len(kept) + len(box) <= BLOCK_DOCS // 4:
-                for k in box:
-                    kept.setdefault(items[k][0], []).append(items[k][1:])
-                continue
-            seed = items[box[0]]
-            container = f"{self.name}-{docs[seed[0]][0]}-{seed[1]}"
-            rows += [(self.name, container, slot, docs[items[k][0]][0], *items[k][1:]) for slot, k in enumerate(box)]
-        return rows, [(*docs[i][:3], pieces) for i, pieces in kept.items()]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, key, block, part = None, None, [], 0
+
+        def work() -> Iterator[pa.RecordBatch]:
+            index = InvertedIndex([np.array(x[5], np.int64) for x in block], [np.array(x[6], np.int64) for x in block])
+            items = [(i, *x[1:]) for i, x in enumerate(block)]
+            _boxes(key[0], capacities[key[0]], f"again{key[1]}.{part}", items, index, out, None)
+            yield out.batch()
+
+        for batch in batches:
+            out = out or _Out(batch.schema.field("doc_id").type, False)
+            for name, pool, *item in zip(*(c.to_pylist() for c in batch.columns)):
+                if block and ((name, pool) != key or len(block) >= 4 * SHARD_DOCS):
+                    yield from work()
+                    block, part = [], part + 1 if (name, pool) == key else 0
+                key = (name, pool)
+                block.append((None, *item))
+        if block:
+            yield from work()
+
+    sizes = {r[0]: r[1] for r in left.groupBy("pack_name").count().collect()}
+    pools = F.create_map(*(F.lit(x) for name, _ in limits for x in (name, -(-sizes.get(name, 0) // SHARD_DOCS) or 1)))
+    pooled = left.withColumn("pool", F.pmod(F.xxhash64("shard"), pools[F.col("pack_name")]).cast("int"))
+    order = ["pack_name", "pool", "shard", F.xxhash64("doc_id", "terms"), "doc_id", "piece"]
+    ordered = pooled.repartition("pack_name", "pool").sortWithinPartitions(*order)
+    return ordered.select("pack_name", "pool", "doc_id", "piece", "first_token", "n_tokens", "terms", "counts").mapInArrow(run, _ROW.format(kind=kind))
 
 
 def packed(docs: DataFrame, limits: list[tuple[str, int]], tokenizer: str = TOKENIZER_PATH) -> DataFrame:
@@ -105,56 +220,14 @@ def packed(docs: DataFrame, limits: list[tuple[str, int]], tokenizer: str = TOKE
     ``docs`` has (doc_id, source, text), ``limits`` (name, capacity in tokens). A text is cut only if it alone is
     larger than the capacity: into pieces of the whole capacity and a rest, numbered from 0, that start at
     ``first_token``. Texts without tokens (null, empty) have a row with a null container and 0 tokens. Each row of
-    ``docs`` is packed once for each limit; limits below one token are an error.
+    ``docs`` is packed once for each limit, repeated and null ids too; containers are named by shard and number. The
+    result does not depend on the partitioning. Limits below one token are an error.
     """
     if any(capacity < 1 for _, capacity in limits):
         raise ValueError("a container must hold at least one token")
     kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode_ordinary
-        shards = [_Shard(name, capacity) for name, capacity in limits]
-
-        def rows_of(block: list[tuple], last: bool) -> Iterator[pa.RecordBatch]:
-            shared = None
-            rows: list[tuple] = []
-            for shard in shards:
-                new = []
-                for doc_id, terms, counts, n in block:
-                    whole, rest = divmod(n, shard.capacity)
-                    if n == 0:
-                        rows.append((shard.name, None, 0, doc_id, 0, 0, 0))
-                    full = whole if n > shard.capacity or not rest else 0
-                    for piece in range(full):  # full containers of their own
-                        rows.append((shard.name, f"{shard.name}-{doc_id}-{piece}", 0, doc_id, piece, piece * shard.capacity, shard.capacity))
-                    if rest:
-                        new.append((doc_id, terms, counts, [(full, full * shard.capacity, rest)]))
-                waiting = shard.carried + new
-                if shared is None:
-                    shared = {}
-                key = tuple(d[0] for d in waiting)
-                if key not in shared:
-                    shared = {key: bm25_scores([d[1] for d in waiting], [d[2] for d in waiting], np.array([d[2].sum() for d in waiting], np.float32))} if waiting else {key: None}
-                out, shard.carried = shard.pack(waiting, shared[key], last)
-                rows += out
-            if rows:
-                columns = list(zip(*rows))
-                arrays = [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32()), pa.array(columns[3], id_type), pa.array(columns[4], pa.int32()), pa.array(columns[5], pa.int64()), pa.array(columns[6], pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays, list(_FIELDS))
-
-        block, tokens, id_type = [], 0, pa.int64()
-        for batch in batches:
-            id_type = batch.schema.field(0).type
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.array(encode(text) if text else [], np.int64)
-                terms, counts = np.unique(ids, return_counts=True)
-                block.append((doc_id, terms, counts, len(ids)))
-                tokens += len(ids)
-                if len(block) >= BLOCK_DOCS or tokens >= BLOCK_TOKENS:
-                    yield from rows_of(block, False)
-                    block, tokens = [], 0
-        yield from rows_of(block, True)
-
-    spread = F.xxhash64("doc_id")
-    ordered = docs.select("doc_id", "source", F.col("text").cast("string").alias("text")).repartitionByRange("source", spread).sortWithinPartitions("source", spread, "doc_id")
-    return ordered.select("doc_id", "text").mapInArrow(run, f"pack_name string, container_id string, slot int, doc_id {kind}, piece int, first_token bigint, n_tokens bigint")
+    rows = docs.select("doc_id", "source", F.col("text").cast("string").alias("text"))
+    first = write_stage(_first_round(_shard(rows), limits, tokenizer, kind), "packed")
+    names = ["pack_name", "container_id", "slot", "doc_id", "piece", "first_token", "n_tokens"]
+    left = first.where(F.col("slot") < 0)
+    return first.where(F.col("slot") >= 0).select(*names).unionByName(_second_round(left, limits, kind))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from skarn.llm import packing
 from skarn.llm.mixing import largest_exact_total, mixed, water_fill
-from skarn.llm.packing import bm25_scores, fill, packed
+from skarn.llm.packing import InvertedIndex, fill, packed
 from skarn.llm.tokens import TOKENIZER_PATH, counted, encoder
 from tests.brute import rows
 
@@ -32,7 +32,7 @@ def test_counts(spark):
 
 @pytest.mark.parametrize("block", [7, 64, 512])
 def test_packing(spark, monkeypatch, block):
-    monkeypatch.setattr(packing, "BLOCK_DOCS", block)
+    monkeypatch.setattr(packing, "SHARD_DOCS", block)
     data, docs = _docs(spark)
     n = {d[0]: len(encoder().encode_ordinary(d[2] or "")) for d in data}
     limits = {"s": 100, "m": 777}
@@ -52,26 +52,50 @@ def test_packing(spark, monkeypatch, block):
         packed(docs, [("s", 0)])
 
 
-def test_bm25_and_fill_against_loops():
+def test_index_and_fill_against_loops():
     r = np.random.default_rng(2)
-    terms = [np.unique(r.integers(0, 40, 15)) for _ in range(12)]
+    terms = [np.unique(r.integers(0, 60, 9)) for _ in range(16)]
     counts = [r.integers(1, 5, len(t)) for t in terms]
-    sizes = np.array([c.sum() for c in counts], np.float32)
-    got = bm25_scores(terms, counts, sizes)
+    sizes = np.array([c.sum() for c in counts], np.float64)
+    index = InvertedIndex(terms, counts)
     df = {t: sum(t in x for x in terms) for x in terms for t in x}
-    for i in range(12):
-        for j in range(12):
+    assert max(df.values()) > 4 and min(df.values()) == 1
+    for i in range(16):
+        for j in range(16):
             s = 0.0
             for t, c in zip(terms[j], counts[j]):
-                if t in terms[i] and df[t] > 1:
-                    s += math.log1p((12 - df[t] + 0.5) / (df[t] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * sizes[j] / sizes.mean()))
-            assert got[i, j] == pytest.approx(s, rel=1e-4)
-    boxes = fill(sizes.astype(int), np.arange(12), got, 80)
-    assert sorted(sum(boxes, [])) == list(range(12)) and all(sizes[b].sum() <= 80 for b in boxes)
-    alike = np.eye(4)
-    alike[0, 3] = alike[3, 0] = 9
-    assert fill(np.array([50, 10, 10, 10]), np.arange(4), alike, 60)[0] == [0, 3]  # the related neighbour is taken
-    assert bm25_scores([], [], np.array([])).shape == (0, 0)
+                if t in terms[i] and 1 < df[t] <= 4:
+                    s += math.log1p((16 - df[t] + 0.5) / (df[t] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * sizes[j] / sizes.mean()))
+            assert index.scores(i)[j] == pytest.approx(s)
+    boxes = fill(sizes.astype(int), np.arange(16), index, 80)
+    assert sorted(sum(boxes, [])) == list(range(16)) and all(sizes[b].sum() <= 80 for b in boxes)
+
+    class Alike:
+        def scores(self, doc):
+            return np.array([1.0, 0, 0, 9]) if doc == 0 else np.zeros(4)
+
+    assert fill(np.array([50, 10, 10, 10]), np.arange(4), Alike(), 60)[0] == [0, 3]  # the related neighbour is taken
+    assert InvertedIndex([], []).n == 0
+
+
+def test_containers_do_not_depend_on_the_partitioning(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_DOCS", 50)
+    _, docs = _docs(spark, 600)
+    limits = [("s", 100), ("m", 900)]
+    once = rows(packed(docs.repartition(7), limits))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        assert rows(packed(docs.coalesce(1), limits)) == once
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_repeated_and_null_ids_keep_the_capacity(spark):
+    data = [(1, "a", "word " * 60, 0), (1, "a", "other " * 60, 0), (None, "a", "third " * 58, 0), (None, "b", "fourth " * 58, 0), (2, "a", "x", 0), (2, "a", "x", 0)]
+    out = packed(spark.createDataFrame(data, DOCS), [("s", 70)]).toPandas()
+    assert len(out) >= 6 and out.groupby("container_id").n_tokens.sum().max() <= 70
+    assert out.n_tokens.sum() == sum(len(encoder().encode_ordinary(d[2])) for d in data)
 
 
 def test_water_filling():
@@ -112,6 +136,16 @@ def test_clamped_mix(spark):
     assert rows(again) == rows(_mix(spark, 60_000)[0])  # repeatable
 
 
+def test_the_fraction_is_exact_to_a_record(spark):
+    data = [(i, "a", "word " * (1 + i % 40), 0) for i in range(2000)]
+    docs = spark.createDataFrame(data, DOCS)
+    have = sum(len(encoder().encode_ordinary(d[2])) for d in data)
+    targets = spark.createDataFrame([("a", 1.0, 5)], "source string, target_share double, max_repeats int")
+    for wanted in (1, have // 3, have - 1, have + 17, 4.5 * have):
+        used = mixed(docs, targets, wanted)[1].first()["used_tokens"]
+        assert abs(used - wanted) <= 45
+
+
 def test_empty_mix(spark):
     empty = spark.createDataFrame([], DOCS)
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")

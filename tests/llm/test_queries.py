@@ -29,6 +29,6 @@ def test_hard_tables(spark, tmp_path, kind):
     path = hard_tables(DATA, str(tmp_path), kind == "empty")
     counts = {name: query(spark, path).count() for name, query in catalogue.queries().items()}
     if kind == "empty":
-        assert {n for n, c in counts.items() if c} == {"p6_shares", "p6_clamped_shares"}  # a row for each target, with nothing used
+        assert {n for n, c in counts.items() if c} == {"p6_shares", "p6_exact_shares"}  # a row for each target, with nothing used
     else:
         assert all(counts.values()), counts
