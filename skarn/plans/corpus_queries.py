@@ -17,7 +17,7 @@ def _manifest(spark, d):
 def _walk(spark, d):
     """What a walk over the files finds now, made from the manifest: hashes that end in 0 changed, those that start with f are gone, documents are new."""
     old = _manifest(spark, d).where(~F.col("sha256").startswith("f")).select("rel_path", F.when(F.col("sha256").endswith("0"), F.sha2(F.col("sha256"), 256)).otherwise(F.col("sha256")).alias("sha256"))
-    new = table(spark, d, "documents").where(F.col("doc_id") % 50 == 0).select(F.concat(F.lit("raw/doc-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("rel_path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    new = table(spark, d, "documents").where(F.col("doc_id").isNotNull()).select(F.concat(F.lit("raw/doc-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("rel_path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
     return old.unionByName(new)
 
 
@@ -66,7 +66,8 @@ def pending_order(spark, d):
 
 
 def hash_order(spark, d):
-    return catalog.hash_order(_manifest(spark, d)).limit(100)
+    """The whole manifest with each file's place in the repeatable shuffle."""
+    return catalog.hash_order(_manifest(spark, d))
 
 
 def drained_chunks(spark, d):
@@ -126,10 +127,11 @@ def doc_metadata(spark, d):
 
 
 def replaced_index(spark, d):
-    """Children after the documents of one source were chunked anew and their old rows replaced."""
+    """Stored pieces of each file after the pieces of the changed and deleted files were replaced by their sections' ids."""
     old = table(spark, d, "child_chunks", "chunk_id", "rel_path").distinct()
-    new = chunking.children(chunking.sections(_docs(spark, d).where(F.col("source") == "glossary"))).select("chunk_id", "rel_path")
-    return catalog.replace_files(old, new, new.select("rel_path")).groupBy("rel_path").agg(F.count(F.lit(1)).alias("n_chunks"))
+    touched = _diff(spark, d).where(F.col("change").isin("changed", "deleted")).select("rel_path", "change")
+    new = table(spark, d, "parents", "parent_id", "rel_path").distinct().join(touched.where("change = 'changed'"), "rel_path", "left_semi").select(F.col("parent_id").alias("chunk_id"), "rel_path")
+    return catalog.replace_files(old, new, touched).groupBy("rel_path").agg(F.count(F.lit(1)).alias("n_chunks"))
 
 
 def section_ids(spark, d):
@@ -235,7 +237,7 @@ _MANIFEST = """manifest AS (SELECT rel_path, sha256, source, status, bytes, chun
   SELECT *, row_number() OVER (PARTITION BY rel_path ORDER BY recorded_at DESC NULLS LAST, sha256 DESC NULLS LAST, bytes DESC NULLS LAST, mtime DESC NULLS LAST, source DESC NULLS LAST, indexed_at DESC NULLS LAST, chunk_count DESC NULLS LAST, status DESC NULLS LAST) AS n
   FROM files WHERE rel_path IS NOT NULL) WHERE n = 1)"""
 _WALK = """walk AS (SELECT rel_path, CASE WHEN ends_with(sha256, '0') THEN sha256(sha256) ELSE sha256 END AS sha256 FROM manifest WHERE NOT starts_with(sha256, 'f')
-  UNION ALL SELECT 'raw/doc-' || doc_id || '.md', sha256(coalesce(text, '')) FROM documents WHERE doc_id % 50 = 0)"""
+  UNION ALL SELECT 'raw/doc-' || doc_id || '.md', sha256(coalesce(text, '')) FROM documents WHERE doc_id IS NOT NULL)"""
 _DIFF = f"""diff AS (SELECT rel_path, CASE WHEN NOT known THEN 'new' WHEN NOT walked THEN 'deleted' WHEN nh IS DISTINCT FROM oh THEN 'changed' WHEN (ns = 'skipped') <> (os = 'skipped') THEN 'flipped' ELSE 'unchanged' END AS change, nh, ns, os
   FROM (SELECT coalesce(w.rel_path, m.rel_path) AS rel_path, w.rel_path IS NOT NULL AS walked, m.rel_path IS NOT NULL AS known, w.sha256 AS nh, m.sha256 AS oh, {_STATUS.replace('rel_path', 'w.rel_path')} AS ns, m.status AS os FROM walk w FULL OUTER JOIN manifest m ON w.rel_path = m.rel_path))"""
 _ALL = f"WITH {_MANIFEST}, {_WALK}, {_DIFF} "
@@ -260,11 +262,12 @@ SQL = {
     "source_counts": f"WITH {_MANIFEST} SELECT source, count(*) AS n_files, sum(bytes)::BIGINT AS bytes FROM manifest GROUP BY 1",
     "drift": f"WITH {_MANIFEST}, s AS (SELECT coalesce(sum(CASE WHEN lower(trim(status)) = 'indexed' THEN chunk_count END), 0)::BIGINT AS chunk_sum FROM manifest), c AS (SELECT count(DISTINCT chunk_id) AS n_chunks FROM chunks), p AS (SELECT count(DISTINCT chunk_id) AS n_points FROM child_chunks) SELECT chunk_sum, n_chunks, n_points, n_points - chunk_sum AS drift, n_points = chunk_sum AND n_chunks = chunk_sum AS consistent FROM s, c, p",
     "pending_order": f"WITH {_MANIFEST} SELECT rel_path, source FROM manifest WHERE lower(trim(status)) = 'pending' ORDER BY rel_path LIMIT 100",
-    "hash_order": f"WITH {_MANIFEST} SELECT rel_path, sha256 FROM manifest ORDER BY substr(sha256, 1, 8), rel_path LIMIT 100",
+    "hash_order": f"WITH {_MANIFEST} SELECT rel_path, sha256 FROM manifest ORDER BY substr(sha256, 1, 8) NULLS FIRST, rel_path",
     "drained_chunks": "SELECT rel_path, count(DISTINCT chunk_id) AS n_chunks FROM chunks WHERE rel_path IS NULL OR rel_path NOT IN (SELECT rel_path FROM pending_deletes WHERE rel_path IS NOT NULL AND rel_path NOT IN (SELECT rel_path FROM files WHERE rel_path IS NOT NULL)) GROUP BY rel_path",
     "outbox": "SELECT rel_path, strftime(min(detected_at::TIMESTAMPTZ) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M') AS detected_at, rel_path IN (SELECT rel_path FROM files WHERE rel_path IS NOT NULL) AS live FROM pending_deletes GROUP BY rel_path",
     "stale_files": f"WITH {_MANIFEST}, c AS (SELECT rel_path, count(DISTINCT chunk_id) AS n FROM chunks GROUP BY rel_path) SELECT m.rel_path, chunk_count, coalesce(n, 0) AS n_chunks FROM manifest m LEFT JOIN c ON m.rel_path = c.rel_path WHERE lower(trim(status)) = 'indexed' AND chunk_count <> coalesce(n, 0)",
     "error_counts": "SELECT lower(trim(phase)) AS phase, coalesce(trim(message) = '', true) AS blank, count(*) AS n, count(rel_path) AS n_paths FROM errors GROUP BY 1, 2",
+    "replaced_index": _ALL + ", t AS (SELECT rel_path, change FROM diff WHERE change IN ('changed', 'deleted')), r AS (SELECT DISTINCT chunk_id, rel_path FROM child_chunks WHERE rel_path IS NULL OR rel_path NOT IN (SELECT rel_path FROM t WHERE rel_path IS NOT NULL)), n AS (SELECT DISTINCT parent_id, rel_path FROM parents WHERE rel_path IN (SELECT rel_path FROM t WHERE change = 'changed')) SELECT rel_path, count(*) AS n_chunks FROM (SELECT chunk_id, rel_path FROM r UNION ALL SELECT parent_id, rel_path FROM n) GROUP BY rel_path",
     "section_ids": "SELECT DISTINCT parent_id, sha1(rel_path || '::' || parent_idx) AS made_id, sha1(rel_path || '::' || parent_idx || '::0') AS first_chunk_id, regexp_replace(substr(sha1(rel_path || '::' || parent_idx), 1, 32), '(.{8})(.{4})(.{4})(.{4})(.{12})', '\\1-\\2-\\3-\\4-\\5') AS point_uuid FROM parents",
     "truncated_sections": f"WITH {_SECTION}, src AS (SELECT * FROM sec), heads AS {_truncate(800)} SELECT parent_id, out AS text, truncated, greatest(1, length(text) // 4) AS approx_tokens FROM done",
     "snippets": f"WITH {_SECTION}, w AS (SELECT parent_id, {_WORDS} AS w FROM sec) SELECT parent_id, CASE WHEN len(w) <= 40 THEN array_to_string(w, ' ') ELSE array_to_string(w[1:40], ' ') || chr(10) || chr(10) || '[TRUNCATED]' END AS snippet, len(w) AS n_words FROM w",

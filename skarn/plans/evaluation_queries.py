@@ -26,15 +26,20 @@ def _scored(spark, d):
     return _cases(spark, d).join(_expected(spark, d).select("query_id").distinct(), "query_id", "left_semi")
 
 
-def _files_ranked(spark, d, idf=True, k=30):
+def _indexed(spark, d):
+    """The scored questions, the sections, and the index both arms share."""
+    q, s = _scored(spark, d).select("query_id", "text"), sections_with_source(spark, d)
+    return q, s, lexical.matched_index(q, s)
+
+
+def _files_ranked(q, s, index, idf=True, k=30):
     """Best section of each file, files ranked."""
-    s = sections_with_source(spark, d)
-    hits = lexical.sparse_topk(_scored(spark, d).select("query_id", "text"), s, 2 * k, idf=idf)
+    hits = lexical.sparse_topk(q, s, 2 * k, idf=idf, index=index)
     return fusion.best_per_parent(hits.join(s.select("doc_id", "rel_path"), "doc_id").withColumn("score", F.round("score", 9)), "rel_path").select("query_id", F.col("rel_path").alias("doc_id"), "rank", "score")
 
 
-def _ranks(spark, d, idf=True):
-    return evaluate.first_ranks(_scored(spark, d), _files_ranked(spark, d, idf), _expected(spark, d))
+def _ranks(spark, d, idf=True, indexed=None):
+    return evaluate.first_ranks(_scored(spark, d), _files_ranked(*(indexed or _indexed(spark, d)), idf), _expected(spark, d))
 
 
 def first_rank(spark, d):
@@ -66,7 +71,8 @@ def out_of_reach(spark, d):
 
 
 def arm_disagreement(spark, d):
-    return evaluate.disagreements(_ranks(spark, d), _ranks(spark, d, idf=False))
+    indexed = _indexed(spark, d)
+    return evaluate.disagreements(_ranks(spark, d, indexed=indexed), _ranks(spark, d, False, indexed))
 
 
 def stage_loss(spark, d):
@@ -112,9 +118,8 @@ def token_savings(spark, d):
 
 def _sub_hits(spark, d):
     """Hits of two sub-queries per case: the question by BM25 and without idf."""
-    s = sections_with_source(spark, d)
-    q = _scored(spark, d).select("query_id", "text")
-    arm = lambda i, idf: lexical.sparse_topk(q, s, 16, idf=idf).withColumn("query_idx", F.lit(i))
+    q, s, index = _indexed(spark, d)
+    arm = lambda i, idf: lexical.sparse_topk(q, s, 18, idf=idf, index=index).withColumn("query_idx", F.lit(i))
     rows = arm(0, True).unionByName(arm(1, False)).withColumn("score", F.round("score", 6))
     return rows.withColumnRenamed("query_id", "question_id").withColumnRenamed("doc_id", "parent_id")
 
@@ -162,7 +167,7 @@ _LOSS = _search(
 
 def _pool_sql(most: int) -> str:
     return _search(
-        _ranked_sql("a", "sec", True, 16), _ranked_sql("b", "sec", False, 16),
+        _ranked_sql("a", "sec", True, 18), _ranked_sql("b", "sec", False, 18),
         f"u AS (SELECT query_id, doc_id, rank, round(score, 6) AS score, 0 AS query_idx FROM a WHERE rank <= {most} UNION ALL SELECT query_id, doc_id, rank, round(score, 6), 1 FROM b WHERE rank <= {most})",
         "f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY query_idx, rank) AS n FROM u) WHERE n = 1)",
         "pool AS (SELECT query_id AS question_id, doc_id AS parent_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, query_idx, rank) AS rank FROM f)",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.operators.references import dangling_counts, dangling_references, reference_keys, references_of, target_intervals
+from skarn.operators.references import dangling_counts, dangling_references, deleted_counts, reference_keys, references_of, target_intervals
 from skarn.plans.tables import table
 
 
@@ -22,7 +22,7 @@ def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every dangling reference."""
-    return _cases(spark, sf_dir).drop("state")
+    return _cases(spark, sf_dir).drop("state", "was_valid")
 
 
 def p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,12 @@ def p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dangling_counts(_cases(spark, sf_dir))
 
 
-QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts}
+def p1_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References to deleted targets, made while they were valid or after."""
+    return deleted_counts(_cases(spark, sf_dir))
+
+
+QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p1_deleted": p1_deleted}
 
 _CASES_SQL = """
 WITH r AS (
@@ -45,10 +50,11 @@ WITH r AS (
   SELECT 'files' AS target, rel_path AS ref_key, min(recorded_at) AS valid_from FROM files GROUP BY rel_path
   UNION ALL
   SELECT 'parents', parent_id, min(recorded_at) FROM parents GROUP BY parent_id
-), d AS (SELECT DISTINCT rel_path FROM pending_deletes),
+), d AS (SELECT rel_path, max(detected_at::TIMESTAMPTZ) AS valid_to FROM pending_deletes GROUP BY rel_path),
 cases AS (
   SELECT DISTINCT r.table_name, r.field_name, r.record_key, r.ref_key, strftime(r.ref_time AT TIME ZONE 'UTC', '%Y-%m') AS period,
-         CASE WHEN t.ref_key IS NULL AND d.rel_path IS NOT NULL THEN 'deleted' WHEN t.ref_key IS NULL THEN 'missing' ELSE 'late' END AS state
+         CASE WHEN t.ref_key IS NULL AND d.rel_path IS NOT NULL THEN 'deleted' WHEN t.ref_key IS NULL THEN 'missing' ELSE 'late' END AS state,
+         CASE WHEN t.ref_key IS NULL AND d.rel_path IS NOT NULL THEN r.ref_time <= d.valid_to END AS was_valid
   FROM r LEFT JOIN t ON r.target = t.target AND r.ref_key = t.ref_key
          LEFT JOIN d ON r.target = 'files' AND r.ref_key = d.rel_path
   WHERE r.ref_key IS NOT NULL AND r.ref_key <> '' AND (t.ref_key IS NULL OR t.valid_from > r.ref_time + INTERVAL 24 HOUR)
@@ -58,4 +64,5 @@ cases AS (
 SQL = {
     "p1_found": _CASES_SQL + "SELECT table_name, field_name, record_key, ref_key, period FROM cases",
     "p1_counts": _CASES_SQL + "SELECT table_name, field_name, period, state, count(*) AS n_refs, count(DISTINCT ref_key) AS n_keys FROM cases GROUP BY ALL",
+    "p1_deleted": _CASES_SQL + "SELECT table_name, field_name, period, was_valid, count(*) AS n_refs, count(DISTINCT ref_key) AS n_keys FROM cases WHERE state = 'deleted' GROUP BY ALL",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skarn.functions import text as X
 from skarn.operators import fusion, lexical, vector
@@ -75,7 +76,9 @@ def tf_topk(spark, d):
 
 
 def rrf_hybrid(spark, d):
-    arms = [lexical.sparse_topk(_questions(spark, d), _docs(spark, d), K * fusion.PREFETCH, idf=i) for i in (True, False)]
+    q, docs = _questions(spark, d), _docs(spark, d)
+    index = lexical.matched_index(q, docs)
+    arms = [lexical.sparse_topk(q, docs, K * fusion.PREFETCH, idf=i, index=index) for i in (True, False)]
     return fusion.rrf(arms, K).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -164,11 +167,10 @@ def match_density(spark, d):
 def symbol_hits(spark, d):
     """The three longest content terms of each question, with up to ten documents that hold the term: the candidates for promotion."""
     q = _questions(spark, d)
-    wanted = q.select("query_id", F.posexplode(X.content_terms(F.col("text"), 3)).alias("pos", "symbol"))
-    index = lexical.postings(_docs(spark, d)).select(F.col("term").alias("symbol"), "doc_id")
-    hits = wanted.select("query_id", "pos", F.lower("symbol").alias("symbol")).join(index, "symbol")
-    from pyspark.sql.window import Window
-
+    wanted = q.select("query_id", F.posexplode(X.content_terms(F.col("text"), 3)).alias("pos", "symbol")).withColumn("symbol", F.lower("symbol"))
+    # only postings of these terms are made
+    index = lexical.matched_index(wanted.select("query_id", F.col("symbol").alias("text")), _docs(spark, d)).postings
+    hits = wanted.join(index.select(F.col("term").alias("symbol"), "doc_id"), "symbol")
     order = Window.partitionBy("query_id", "pos").orderBy("doc_id")
     return hits.withColumn("n", F.row_number().over(order)).where(F.col("n") <= 10).select("query_id", "pos", "symbol", "doc_id")
 

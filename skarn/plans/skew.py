@@ -5,27 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A list of hot keys never has more entries than this, so it may be broadcast at any input size.
-MAX_HOT_KEYS = 256
-#: Rows of one hot key that go to one salt, and the most salts a key gets.
+#: Rows of one hot key that go to one salt.
 ROWS_PER_SALT = 100_000
-MAX_SALTS = 4_096
+#: A hot key holds more than one in so many rows, so there are never more hot keys than this, and their list may be broadcast at any input size.
+MOST_HOT_KEYS = 20_000
 
 
 def hot_keys(rows: DataFrame, keys: list[str], rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
-    """The at most ``MAX_HOT_KEYS`` most frequent keys with more than ``rows_per_salt`` rows, with their number of salts.
+    """Every key with more than ``rows_per_salt`` rows, and more than one in MOST_HOT_KEYS of all rows, with its number of salts.
 
-    The count is combined before the shuffle; the list is bounded by definition. Keys of lower rank have
-    fewer rows than total / MAX_HOT_KEYS and need no salt.
+    The count is combined before the shuffle. Keys that are not listed hold at most one in MOST_HOT_KEYS of all rows.
     """
-    return (
-        rows.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n_rows"))
-        .where(F.col("n_rows") > rows_per_salt)
-        .orderBy(F.desc("n_rows"), *keys)
-        .limit(MAX_HOT_KEYS)
-        .select(*keys, F.least(F.lit(MAX_SALTS), F.ceil(F.col("n_rows") / rows_per_salt)).cast("int").alias("n_salts"))
-    )
+    least = max(rows_per_salt, -(-rows.count() // MOST_HOT_KEYS))
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > least)
+    return counted.select(*keys, F.ceil(F.col("n_rows") / least).cast("int").alias("n_salts"))
 
 
 def salted(rows: DataFrame, hot: DataFrame, keys: list[str], spread: Column) -> DataFrame:

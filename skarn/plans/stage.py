@@ -17,9 +17,11 @@ _WRITTEN: list[tuple[object, str]] = []
 
 
 def stage_root(spark: SparkSession) -> str:
-    """The shared folder named by the session; a temporary one only where the setting is unset, as in tests."""
+    """The shared folder named by the session; a temporary one where the setting is unset and there is one machine only, as in tests. ValueError on a cluster without the setting."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = "file://" + tempfile.mkdtemp(prefix="skarn-stages-")
         spark.conf.set("spark.checkpoint.dir", root)
         _WRITTEN.append((spark, root))

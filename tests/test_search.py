@@ -166,3 +166,13 @@ def test_scalars(spark):
     assert _one(spark, "--A  b/c--", X.slug(t)) == "a-b-c"
     assert _one(spark, "aa bbbb cc.dd bbbb eee", X.content_terms(t, 3)) == ["cc.dd", "bbbb", "eee"]
     assert _one(spark, "body", X.embed_text(F.lit("My title"), F.lit("x/my-other_file.md"), F.lit("A > B"), t)) == "My title other file\nA > B\n\nbody"
+
+
+def test_lsh_prunes_where_near_vectors_are_close(spark):
+    r = np.random.default_rng(4)
+    m = np.repeat(r.normal(size=(80, 64)), 40, 0) + 0.6 * r.normal(size=(3200, 64))
+    p = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "point_id long, vector array<double>")
+    q = p.where("point_id % 100 = 0").withColumnRenamed("point_id", "query_id")
+    exact = {(x[0], x[1]) for x in vector.dense_topk(q, p, 10).collect()}
+    found = {(x[0], x[1]) for x in vector.lsh_candidates(q, p, 8, 15, 6).collect()}
+    assert len(exact & found) >= 0.9 * len(exact) and len(found) < 0.05 * 32 * 3200
