@@ -15,6 +15,13 @@ HEADING_METHOD = r"\b([a-z][A-Za-z0-9_]*)\\?\("
 URL_TAILS = ["com", "org", "net", "io", "gov", "edu", "co", "uk", "html", "htm", "md", "xml", "json", "csv", "xlsx", "pdf", "txt", "png", "jpg", "jpeg", "gif", "svg", "zip", "do", "js", "css"]
 NOISE_SYMBOLS = ["function", "return", "var", "let", "const", "if", "else", "for", "while", "true", "false", "null", "undefined", "new", "this", "typeof", "class", "String", "Number", "Boolean", "Object", "Array", "JSON", "Math", "Date"]
 
+# Words that no search by content looks for.
+STOPWORDS = """a an the is are was were be been do does did how what why when where which who can i my me you it its to of in on for with
+and or but if not no so that this these from by at as we our have has want need get got use using there then than into out up down about
+should would could will just any""".split()
+#: An identifier among content terms: three or more characters, dots inside.
+CONTENT_TERM = r"[A-Za-z_][A-Za-z0-9_.]{2,}"
+
 #: A term of the lexical index: a run of letters and digits of the lower-cased text.
 TERM = r"[\p{L}\p{N}]+"
 
@@ -67,8 +74,14 @@ def snippet(text: Column, most_words: int) -> Column:
 
 
 def item_cost(*fields: str) -> Column:
-    """Characters of a row's fields as a JSON object. Compact JSON, unescaped: see the README for the difference to an escaped one."""
-    return F.length(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))
+    """Characters of a row's fields as a JSON object with a blank after each comma and colon, and \\u escapes for all that is not printable ASCII.
+
+    Made from the compact, unescaped form: two blanks a field less one, five characters more for an escaped one, six
+    on top of that for one outside the basic plane, which takes two escapes and counts as one character before.
+    """
+    compact = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    escaped, astral = F.regexp_count(compact, F.lit(r"[^\x{00}-\x{7E}]")), F.regexp_count(compact, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+    return F.length(compact) + (2 * len(fields) - 1) + 5 * escaped + 6 * astral
 
 
 def parent_id(rel_path: Column, parent_idx: Column) -> Column:
@@ -94,8 +107,8 @@ def query_symbols(query: Column) -> Column:
 
 
 def content_terms(text: Column, most: int = 6) -> Column:
-    """The longest identifiers (three or more characters, dots inside) of a text: unique, longest first, ties in text order."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"[A-Za-z_][A-Za-z0-9_.]{2,}"), F.lit(0)))
+    """The longest identifiers of a text that are no stopwords: unique, longest first, ties in text order."""
+    found = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(CONTENT_TERM), F.lit(0))), lambda t: ~F.lower(t).isin(STOPWORDS))
     keyed = F.transform(found, lambda t, i: F.struct((-F.length(t)).alias("k"), i.alias("i"), t.alias("t")))
     return F.slice(F.transform(F.array_sort(keyed), lambda s: s["t"]), 1, most)
 

@@ -171,7 +171,7 @@ def snippets(spark, d):
 def running_cap(spark, d):
     """The sections of each file that fit into 6,000 characters of JSON, in order."""
     rows = table(spark, d, "parents").groupBy("parent_id").agg(F.min(F.struct("rel_path", "parent_idx", "text")).alias("v")).select("parent_id", "v.*")
-    capped = fusion.running_cap(rows, "rel_path", "parent_idx", F.length("text") + F.length("parent_id") + 40, 6000, 8)
+    capped = fusion.running_cap(rows, "rel_path", "parent_idx", X.item_cost("parent_id", "text"), 6000, 8)
     return capped.select("rel_path", "parent_idx", "parent_id", "running")
 
 
@@ -245,13 +245,30 @@ _SECTION = "sec AS (SELECT parent_id, min(text) AS text FROM parents GROUP BY pa
 _WORDS = "list_filter(string_split(trim(regexp_replace(text, '[\\s\\p{Z}]+', ' ', 'g'), ' '), ' '), lambda w: w <> '')"
 
 
+#: The length of a JSON object with blanks and ASCII escapes, from its compact, unescaped form.
+_COST = "(length({json}) + 2 * {fields} - 1 + 5 * length(regexp_replace({json}, '[\\x{{00}}-\\x{{7E}}]', '', 'g')) + 6 * length(regexp_replace({json}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')))"
+
+
 def _truncate(most: int) -> str:
     room = most - len(X.TRUNCATION_MARKER)
     last = lambda c: f"CASE WHEN contains(h, {c}) THEN length(h) - instr(reverse(h), {c}) ELSE -1 END"
     return f"(SELECT *, substr(text, 1, {room}) AS h, length(text) > {most} AS truncated FROM src), cut AS (SELECT *, {last('chr(10)')} AS nl, {last(chr(39) + ' ' + chr(39))} AS sp FROM heads), ends AS (SELECT *, CASE WHEN nl >= {room * 0.8} THEN nl ELSE sp END AS pos FROM cut), done AS (SELECT *, CASE WHEN truncated THEN (CASE WHEN pos > {room * 0.5} THEN substr(h, 1, pos) ELSE h END) || chr(10) || chr(10) || '[TRUNCATED]' ELSE text END AS out FROM ends)"
 
 
+_LISTED = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+def _symbols(found: str, noise: str = "true") -> str:
+    return f"list_sort(list_distinct(list_filter({found}, lambda s: NOT list_contains({_LISTED(X.NOISE_SYMBOLS)}, s) AND {noise})))"
+
+
+_DOTTED = f"list_filter(regexp_extract_all(text, '{X.DOTTED_SYMBOL}'), lambda s: NOT list_contains({_LISTED(X.URL_TAILS)}, lower(string_split(s, '.')[-1])) AND len(list_intersect(string_split(s, '.'), {_LISTED(X.NOISE_SYMBOLS)})) = 0)"
+_STEM = "regexp_replace(regexp_extract(rel_path, '[^/]*$'), '(.)\\.[^.]*$', '\\1')"
+_TITLE = "coalesce(string_split(h_path, ' > ')[1], '')"
+
 SQL = {
+    "api_symbols": f"SELECT DISTINCT chunk_id, array_to_string({_symbols(f"list_concat({_DOTTED}, regexp_extract_all(text, '{X.CAMEL_SYMBOL}'))")}, ' ') AS symbols, array_to_string({_symbols(f"list_concat(regexp_extract_all(h, '{X.HEADING_METHOD}', 1), regexp_extract_all(h, '{X.CAMEL_SYMBOL}'))")}, ' ') AS in_heading FROM (SELECT DISTINCT chunk_id, text, regexp_extract(text, '(?m)^#{{1,6}} .*$') AS h FROM child_chunks)",
+    "embed_texts": f"WITH t AS (SELECT DISTINCT chunk_id, rel_path, coalesce(h_path, '') AS h_path, text, {_TITLE} AS title, {_STEM} AS stem FROM child_chunks), u AS (SELECT *, trim(concat_ws(' ', title, array_to_string(list_filter(string_split(regexp_replace(stem, '[-_]+', ' ', 'g'), ' '), lambda w: w <> '' AND NOT contains(lower(title), lower(w))), ' '))) AS head FROM t) SELECT chunk_id, concat_ws(chr(10), CASE WHEN head <> '' THEN head END, CASE WHEN h_path <> '' THEN h_path END) || chr(10) || chr(10) || text AS embed_text FROM u",
     "classify_source": f"SELECT DISTINCT rel_path, {_CLASS} AS source_class, {_STATUS} AS status, ends_with(rel_path, '.md') AND len(list_intersect(string_split(rel_path, '/')[:-2], ['.git', '.obsidian', '.smart-env', '.claude'])) = 0 AS walked FROM files",
     "unknown_folders": f"SELECT split_part(rel_path, '/', 1) AS folder, count(*) AS n_files FROM (SELECT DISTINCT rel_path FROM chunks) WHERE rel_path IS NOT NULL AND ({_CLASS}) IS NULL GROUP BY 1",
     "latest_files": f"WITH {_MANIFEST} SELECT rel_path, sha256, status, chunk_count FROM manifest",
@@ -271,7 +288,7 @@ SQL = {
     "section_ids": "SELECT DISTINCT parent_id, sha1(rel_path || '::' || parent_idx) AS made_id, sha1(rel_path || '::' || parent_idx || '::0') AS first_chunk_id, regexp_replace(substr(sha1(rel_path || '::' || parent_idx), 1, 32), '(.{8})(.{4})(.{4})(.{4})(.{12})', '\\1-\\2-\\3-\\4-\\5') AS point_uuid FROM parents",
     "truncated_sections": f"WITH {_SECTION}, src AS (SELECT * FROM sec), heads AS {_truncate(800)} SELECT parent_id, out AS text, truncated, greatest(1, length(text) // 4) AS approx_tokens FROM done",
     "snippets": f"WITH {_SECTION}, w AS (SELECT parent_id, {_WORDS} AS w FROM sec) SELECT parent_id, CASE WHEN len(w) <= 40 THEN array_to_string(w, ' ') ELSE array_to_string(w[1:40], ' ') || chr(10) || chr(10) || '[TRUNCATED]' END AS snippet, len(w) AS n_words FROM w",
-    "running_cap": "WITH p AS (SELECT parent_id, min(struct_pack(rel_path := rel_path, parent_idx := parent_idx, text := text)) AS v FROM parents GROUP BY parent_id), r AS (SELECT v.rel_path AS rel_path, v.parent_idx AS parent_idx, parent_id, sum(length(v.text) + length(parent_id) + 40) OVER w AS running, row_number() OVER w AS n FROM p WINDOW w AS (PARTITION BY v.rel_path ORDER BY v.parent_idx ROWS UNBOUNDED PRECEDING)) SELECT rel_path, parent_idx, parent_id, running::BIGINT AS running FROM r WHERE (n = 1 OR running <= 6000) AND n <= 8",
+    "running_cap": "WITH p AS (SELECT parent_id, min(struct_pack(rel_path := rel_path, parent_idx := parent_idx, text := text)) AS v FROM parents GROUP BY parent_id), r AS (SELECT v.rel_path AS rel_path, v.parent_idx AS parent_idx, parent_id, sum(" + _COST.format(json="to_json(struct_pack(parent_id := parent_id, text := v.text))", fields=2) + ") OVER w AS running, row_number() OVER w AS n FROM p WINDOW w AS (PARTITION BY v.rel_path ORDER BY v.parent_idx ROWS UNBOUNDED PRECEDING)) SELECT rel_path, parent_idx, parent_id, running::BIGINT AS running FROM r WHERE (n = 1 OR running <= 6000) AND n <= 8",
     "outlines": f"WITH p AS (SELECT min(struct_pack(rel_path := rel_path, parent_idx := parent_idx, h_path := coalesce(h_path, ''))) AS v FROM parents GROUP BY parent_id), r AS (SELECT v.rel_path AS rel_path, v.h_path AS h_path, row_number() OVER (PARTITION BY v.rel_path ORDER BY v.parent_idx, v.h_path) AS n FROM p), src AS (SELECT rel_path, string_agg(n || '. ' || h_path, chr(10) ORDER BY n) AS text, count(*) AS n_sections FROM r WHERE n <= 40 GROUP BY rel_path), heads AS {_truncate(3000)} SELECT rel_path, n_sections, out AS outline, truncated FROM done",
     "locate_rank": "WITH p AS (SELECT min(struct_pack(rel_path := rel_path, h_path := h_path, text := text)) AS v FROM parents GROUP BY parent_id), f AS (SELECT v.rel_path AS rel_path, sum(len(string_split(lower(v.text), 'rollback')) - 1) AS n, max(coalesce(contains(lower(v.h_path), 'rollback'), false)) AS h FROM p GROUP BY 1), g AS (SELECT *, contains(lower(regexp_extract(rel_path, '[^/]*$')), 'rollback') AS s FROM f) SELECT rel_path, (least(n, 20) + CASE WHEN h THEN 40 ELSE 0 END + CASE WHEN s THEN 25 ELSE 0 END - CASE WHEN contains(lower(rel_path), 'glossary') THEN 15 ELSE 0 END)::BIGINT AS score FROM g WHERE n > 0 OR s ORDER BY score DESC, rel_path DESC LIMIT 30",
     "corpus_projection": f"WITH {_MANIFEST}, per AS (SELECT rel_path, count(DISTINCT parent_id) AS n FROM parents GROUP BY rel_path), r AS (SELECT m.source, m.rel_path, coalesce(n, 0) AS n FROM manifest m LEFT JOIN per ON m.rel_path = per.rel_path), k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n, rel_path) AS rn, count(*) OVER (PARTITION BY source) AS c FROM r) SELECT source, count(*) AS n_files, sum(n)::BIGINT AS n_sections, avg(n) AS mean, median(n) AS median, max(CASE WHEN rn = c * 9 // 10 + 1 THEN n END) AS p90, max(n) AS most FROM k GROUP BY source",

@@ -212,6 +212,7 @@ def _bm25(arms: str, corpus: str = "documents") -> str:
     return "WITH " + _BM25_PARTS.format(corpus=corpus) + ",\n" + arms
 
 
+_STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
 _PICK = "\nSELECT query_id, doc_id, rank, round(score, 6) AS score FROM {name}"
 _HITS_30 = _ranked_sql("a", "documents", True, 30)
 _HITS_10 = _ranked_sql("a", "documents", True, K)
@@ -242,7 +243,7 @@ SELECT query_id, doc_id, rank, round(score, 6) AS score FROM r WHERE rank <= 8""
 SELECT query_id, a.doc_id, source, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(source IN ('api-reference', 'style-guides'), false) DESC, rank) AS rank FROM a JOIN documents d ON a.doc_id = d.doc_id""",
     "lexical_promote": _bm25(_HITS_10) + """,
 w AS (SELECT query_id, unnest(t) AS term, unnest(generate_series(1, len(t))) AS i FROM (SELECT query_id, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_.]{2,}') AS t FROM questions)),
-lng AS (SELECT query_id, arg_min(term, struct_pack(a := -length(term), b := i)) AS term FROM w GROUP BY query_id),
+lng AS (SELECT query_id, arg_min(term, struct_pack(a := -length(term), b := i)) AS term FROM w WHERE lower(term) NOT IN (""" + _STOP + """) GROUP BY query_id),
 f AS (SELECT a.query_id, a.doc_id, a.rank, coalesce(contains(d.text, lng.term), false) AS found FROM a JOIN documents d ON a.doc_id = d.doc_id LEFT JOIN lng ON a.query_id = lng.query_id)
 SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY found DESC, rank) AS rank FROM f""",
     "lexical_lines": f"WITH {_PAGED}, {_LINE_ROWS}, n AS (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY line_no) AS k FROM hit) SELECT parent_id, line_no, line FROM n WHERE k <= 3",
@@ -251,7 +252,7 @@ SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY found
     "lexical_citations": f"WITH {_PAGED}, {_LINE_ROWS} SELECT rel_path, count(*) AS n_lines FROM hit WHERE rel_path IN (SELECT rel_path FROM files GROUP BY rel_path HAVING min(source) = 'official') GROUP BY rel_path",
     "match_density": f"WITH {_PAGED} SELECT parent_id AS rel_path, len(list_filter(string_split(v.text, chr(10)), lambda x: contains(x, '{SYMBOL}'))) AS n_lines, len(string_split(v.text, '{SYMBOL}')) - 1 AS n_matches FROM paged WHERE contains(v.text, '{SYMBOL}') ORDER BY n_lines DESC, length(parent_id), parent_id LIMIT 5",
     "symbol_hits": _bm25("""w AS (SELECT query_id, unnest(t) AS term, unnest(generate_series(1, len(t))) AS i FROM (SELECT query_id, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_.]{2,}') AS t FROM questions)),
-u AS (SELECT query_id, term, min(i) AS i FROM w GROUP BY query_id, term),
+u AS (SELECT query_id, term, min(i) AS i FROM w WHERE lower(term) NOT IN (""" + _STOP + """) GROUP BY query_id, term),
 k AS (SELECT query_id, lower(term) AS symbol, row_number() OVER (PARTITION BY query_id ORDER BY length(term) DESC, i) - 1 AS pos FROM u),
 h AS (SELECT query_id, pos, symbol, doc_id, row_number() OVER (PARTITION BY query_id, pos ORDER BY doc_id) AS n FROM k JOIN tf ON tf.term = symbol WHERE pos < 3)
 SELECT query_id, pos, symbol, doc_id FROM h WHERE n <= 10"""),
