@@ -19,6 +19,8 @@ NOISE_SYMBOLS = ["function", "return", "var", "let", "const", "if", "else", "for
 STOPWORDS = """a an the is are was were be been do does did how what why when where which who can i my me you it its to of in on for with
 and or but if not no so that this these from by at as we our have has want need get got use using there then than into out up down about
 should would could will just any""".split()
+#: Word boundaries between letters of all scripts, not of ASCII only.
+UNICODE_EDGES = "(?U)"
 #: An identifier among content terms: three or more characters, dots inside.
 CONTENT_TERM = r"[A-Za-z_][A-Za-z0-9_.]{2,}"
 
@@ -116,15 +118,15 @@ def content_terms(text: Column, most: int = 6) -> Column:
 def code_symbols(code: Column) -> Column:
     """Sorted unique API symbols of fenced code: dotted names that are no URL or file and hold no noise word, and CamelCase names."""
     noise, tails = _strings(NOISE_SYMBOLS), _strings(URL_TAILS)
-    dotted = F.filter(F.regexp_extract_all(code, F.lit(DOTTED_SYMBOL), F.lit(0)), lambda s: ~F.array_contains(tails, F.lower(F.substring_index(s, ".", -1))) & ~F.arrays_overlap(F.split(s, r"\."), noise))
-    camel = F.filter(F.regexp_extract_all(code, F.lit(CAMEL_SYMBOL), F.lit(0)), lambda s: ~F.array_contains(noise, s))
+    dotted = F.filter(F.regexp_extract_all(code, F.lit(UNICODE_EDGES + DOTTED_SYMBOL), F.lit(0)), lambda s: ~F.array_contains(tails, F.lower(F.substring_index(s, ".", -1))) & ~F.arrays_overlap(F.split(s, r"\."), noise))
+    camel = F.filter(F.regexp_extract_all(code, F.lit(UNICODE_EDGES + CAMEL_SYMBOL), F.lit(0)), lambda s: ~F.array_contains(noise, s))
     return F.sort_array(F.array_distinct(F.concat(dotted, camel)))
 
 
 def heading_symbols(heading: Column) -> Column:
     """Sorted unique API symbols of a heading: called names and CamelCase names."""
     noise = _strings(NOISE_SYMBOLS)
-    found = F.concat(F.regexp_extract_all(heading, F.lit(HEADING_METHOD), F.lit(1)), F.regexp_extract_all(heading, F.lit(CAMEL_SYMBOL), F.lit(0)))
+    found = F.concat(F.regexp_extract_all(heading, F.lit(UNICODE_EDGES + HEADING_METHOD), F.lit(1)), F.regexp_extract_all(heading, F.lit(UNICODE_EDGES + CAMEL_SYMBOL), F.lit(0)))
     return F.sort_array(F.array_distinct(F.filter(found, lambda s: ~F.array_contains(noise, s))))
 
 

@@ -262,12 +262,32 @@ def _symbols(found: str, noise: str = "true") -> str:
     return f"list_sort(list_distinct(list_filter({found}, lambda s: NOT list_contains({_LISTED(X.NOISE_SYMBOLS)}, s) AND {noise})))"
 
 
-_DOTTED = f"list_filter(regexp_extract_all(text, '{X.DOTTED_SYMBOL}'), lambda s: NOT list_contains({_LISTED(X.URL_TAILS)}, lower(string_split(s, '.')[-1])) AND len(list_intersect(string_split(s, '.'), {_LISTED(X.NOISE_SYMBOLS)})) = 0)"
+# RE2 knows word boundaries of ASCII only, so that a character before and after stands for them.
+_APART = "[^\\p{L}\\p{N}_]"
+
+
+def _dotted(text: str) -> str:
+    found = f"regexp_extract_all({text}, '(?:^|{_APART})({X.DOTTED_SYMBOL[2:].replace('[A-Za-z_$]', '[A-Za-z_]', 1)})', 1)"
+    return f"list_filter({found}, lambda s: NOT list_contains({_LISTED(X.URL_TAILS)}, lower(string_split(s, '.')[-1])) AND len(list_intersect(string_split(s, '.'), {_LISTED(X.NOISE_SYMBOLS)})) = 0)"
+
+
+def _camel(text: str) -> str:
+    return f"regexp_extract_all(regexp_replace({text}, '({_APART})', '\\1\\1', 'g'), '(?:^|{_APART})({X.CAMEL_SYMBOL[2:-2]})(?:$|{_APART})', 1)"
+
+
+def _code_symbols(text: str) -> str:
+    return _symbols(f"list_concat({_dotted(text)}, {_camel(text)})")
+
+
+def _heading_symbols(text: str) -> str:
+    return _symbols(f"list_concat(regexp_extract_all({text}, '(?:^|{_APART}){X.HEADING_METHOD[2:]}', 1), {_camel(text)})")
+
+
 _STEM = "regexp_replace(regexp_extract(rel_path, '[^/]*$'), '(.)\\.[^.]*$', '\\1')"
 _TITLE = "coalesce(string_split(h_path, ' > ')[1], '')"
 
 SQL = {
-    "api_symbols": f"SELECT DISTINCT chunk_id, array_to_string({_symbols(f"list_concat({_DOTTED}, regexp_extract_all(text, '{X.CAMEL_SYMBOL}'))")}, ' ') AS symbols, array_to_string({_symbols(f"list_concat(regexp_extract_all(h, '{X.HEADING_METHOD}', 1), regexp_extract_all(h, '{X.CAMEL_SYMBOL}'))")}, ' ') AS in_heading FROM (SELECT DISTINCT chunk_id, text, regexp_extract(text, '(?m)^#{{1,6}} .*$') AS h FROM child_chunks)",
+    "api_symbols": f"SELECT DISTINCT chunk_id, array_to_string({_code_symbols('text')}, ' ') AS symbols, array_to_string({_heading_symbols('h')}, ' ') AS in_heading FROM (SELECT DISTINCT chunk_id, text, regexp_extract(text, '(?m)^#{{1,6}} .*$') AS h FROM child_chunks)",
     "embed_texts": f"WITH t AS (SELECT DISTINCT chunk_id, rel_path, coalesce(h_path, '') AS h_path, text, {_TITLE} AS title, {_STEM} AS stem FROM child_chunks), u AS (SELECT *, trim(concat_ws(' ', title, array_to_string(list_filter(string_split(regexp_replace(stem, '[-_]+', ' ', 'g'), ' '), lambda w: w <> '' AND NOT contains(lower(title), lower(w))), ' '))) AS head FROM t) SELECT chunk_id, concat_ws(chr(10), CASE WHEN head <> '' THEN head END, CASE WHEN h_path <> '' THEN h_path END) || chr(10) || chr(10) || text AS embed_text FROM u",
     "classify_source": f"SELECT DISTINCT rel_path, {_CLASS} AS source_class, {_STATUS} AS status, ends_with(rel_path, '.md') AND len(list_intersect(string_split(rel_path, '/')[:-2], ['.git', '.obsidian', '.smart-env', '.claude'])) = 0 AS walked FROM files",
     "unknown_folders": f"SELECT split_part(rel_path, '/', 1) AS folder, count(*) AS n_files FROM (SELECT DISTINCT rel_path FROM chunks) WHERE rel_path IS NOT NULL AND ({_CLASS}) IS NULL GROUP BY 1",
@@ -296,3 +316,45 @@ SQL = {
     "code_like": "SELECT DISTINCT id, regexp_matches(question, '\\b[a-z_$][\\w$]*\\.[a-z_$][\\w$]*|\\b[A-Z][a-z0-9]+[A-Z]\\w*|\\bsys_\\w+|\\b(?:gs|gr|g_form|g_user|current|previous)\\b') AS code_like, array_to_string(list_distinct(list_filter(regexp_extract_all(question, '\\b[a-z_$][\\w$]*\\.[a-z_$][\\w$]*|\\b[A-Z][a-z0-9]+[A-Z]\\w*|\\bsys_\\w+|\\b(?:gs|gr|g_form|g_user|current|previous)\\b'), lambda x: x <> '')), ' ') AS symbols FROM golden",
     "last_documents": "WITH r AS (SELECT source, doc_id, substr(text, 1, 400) AS text, row_number() OVER (PARTITION BY source ORDER BY collected_at DESC NULLS LAST, doc_id DESC) AS n FROM documents WHERE text IS NOT NULL AND trim(text, ' ') <> '') SELECT source, doc_id, substr(array_to_string(" + _WORDS + ", ' '), 1, 64) AS summary FROM r WHERE n = 1",
 }
+
+
+# Segmentation by recursion over lines: one state per document, moved on by flags that each line has by itself.
+_REL = "coalesce(source, 'none') || '/' || doc_id || '.md'"
+_LINES = f"""body AS (SELECT {_REL} AS rel_path, regexp_replace(text, '(?s)\\A---\\r?\\n(.*?)\\r?\\n---[ \\t]*\\r?\\n?', '') AS body FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+split AS (SELECT rel_path, unnest(regexp_extract_all(body, '[^\\n]*\\n|[^\\n]+')) AS line, generate_subscripts(regexp_extract_all(body, '[^\\n]*\\n|[^\\n]+'), 1) AS i FROM body),
+bare AS (SELECT *, rtrim(line, chr(13) || chr(10)) AS b, lead(rtrim(line, chr(13) || chr(10))) OVER (PARTITION BY rel_path ORDER BY i) AS nb FROM split),
+marked AS MATERIALIZED (SELECT rel_path, i, line, regexp_extract(line, '^ {{0,3}}(`{{3,}}|~{{3,}})', 1) AS f, regexp_extract(b, '^ {{0,3}}(`{{3,}}|~{{3,}})\\s*$', 1) AS c,
+  len(regexp_extract_all(line, '(?i)<table\\b')) AS opens, len(regexp_extract_all(line, '(?i)</table\\b')) AS closes, contains(line, '|') AS pipe,
+  contains(line, '|') AND coalesce(contains(nb, '|') AND regexp_matches(nb, '^ {{0,3}}\\|?[ \\t:|-]*-[ \\t:|-]*\\|?[ \\t]*$'), false) AS starts,
+  length(regexp_extract(b, '^ {{0,3}}(#{{1,6}})[\\s\\p{{Z}}]+(.*?)[\\s\\p{{Z}}]*#*[\\s\\p{{Z}}]*$', 1)) AS lvl, regexp_replace(trim(regexp_extract(b, '^ {{0,3}}(#{{1,6}})[\\s\\p{{Z}}]+(.*?)[\\s\\p{{Z}}]*#*[\\s\\p{{Z}}]*$', 2)), '\\\\([\\\\`*_{{}}\\[\\]()#+\\-.!|~])', '\\1', 'g') AS title FROM bare)"""
+_INSIDE = "CASE WHEN s.mode = 'pipe' AND s.skip = 0 AND NOT m.pipe THEN '' ELSE s.mode END"
+_KIND = "CASE WHEN f <> '' THEN 'code' WHEN opens > 0 THEN 'html_table' WHEN starts THEN 'table' WHEN lvl > 0 THEN 'heading' ELSE 'text' END"
+_BLOCKS_SQL = f"""WITH RECURSIVE {_LINES},
+walk AS (
+  SELECT rel_path, 0::BIGINT AS i, '' AS mode, '' AS fence, 0::BIGINT AS depth, 0 AS skip, '' AS kind, false AS first, []::STRUCT(l BIGINT, t VARCHAR)[] AS trail, 0::BIGINT AS lvl, '' AS line FROM body
+  UNION ALL
+  SELECT rel_path, i,
+    CASE inside WHEN 'code' THEN CASE WHEN c <> '' AND c[1] = fence[1] AND length(c) >= length(fence) THEN '' ELSE 'code' END WHEN 'html' THEN CASE WHEN depth + opens - closes > 0 THEN 'html' ELSE '' END WHEN 'pipe' THEN 'pipe'
+      ELSE CASE kind WHEN 'code' THEN 'code' WHEN 'html_table' THEN CASE WHEN opens - closes > 0 THEN 'html' ELSE '' END WHEN 'table' THEN 'pipe' ELSE '' END END,
+    CASE WHEN inside = '' THEN f ELSE fence END, CASE WHEN inside = '' THEN opens - closes ELSE depth + opens - closes END, CASE WHEN inside = '' AND kind = 'table' THEN 1 ELSE 0 END,
+    kind, inside = '' AND (kind <> 'text' OR was <> 'text'),
+    CASE WHEN kind = 'heading' THEN list_append(list_filter(trail, lambda x: x.l < own), {{'l': own, 't': title}}) ELSE trail END, CASE WHEN kind = 'heading' THEN own ELSE 0 END, line
+  FROM (SELECT m.rel_path, m.i, m.line, m.f, m.c, m.opens, m.closes, m.title, m.lvl AS own, s.fence, s.depth, s.trail, s.kind AS was, {_INSIDE} AS inside,
+      CASE {_INSIDE} WHEN 'code' THEN 'code' WHEN 'html' THEN 'html_table' WHEN 'pipe' THEN 'table' ELSE {_KIND.replace("f <>", "m.f <>").replace("lvl >", "m.lvl >")} END AS kind
+    FROM walk s JOIN marked m ON m.rel_path = s.rel_path AND m.i = s.i + 1)),
+numbered AS (SELECT *, sum(first::INT) OVER (PARTITION BY rel_path ORDER BY i) - 1 AS block_idx FROM walk WHERE i > 0),
+blk AS (SELECT rel_path, block_idx::BIGINT AS block_idx, any_value(kind) AS kind, max(lvl) AS level, array_to_string(list_transform(arg_min(trail, i), lambda x: x.t), ' > ') AS h_path, string_agg(line, '' ORDER BY i) AS text FROM numbered GROUP BY rel_path, block_idx)"""
+_PARENTS_SQL = f"""{_BLOCKS_SQL},
+runs AS (SELECT *, sum((kind = 'heading' AND level <= 3)::INT) OVER (PARTITION BY rel_path ORDER BY block_idx) AS run FROM blk),
+sized AS MATERIALIZED (SELECT *, length(text) AS n, sum(length(text)) OVER (PARTITION BY rel_path, run) AS size, row_number() OVER (PARTITION BY rel_path, run ORDER BY block_idx) = 1 AS head FROM runs),
+fold AS (
+  SELECT rel_path, -1::BIGINT AS block_idx, false AS new, NULL::BIGINT AS open, 0::BIGINT AS room FROM body
+  UNION ALL
+  SELECT s.rel_path, s.block_idx, CASE WHEN s.size > 4000 THEN s.head OR s.n > f.room ELSE s.head AND (f.open IS NULL OR f.open >= 2000 OR f.open + s.size > 4000) END,
+    (CASE WHEN s.size > 4000 THEN NULL WHEN NOT s.head THEN f.open WHEN f.open IS NULL OR f.open >= 2000 OR f.open + s.size > 4000 THEN s.size ELSE f.open + s.size END)::BIGINT,
+    (CASE WHEN s.size <= 4000 THEN 0 WHEN s.head OR s.n > f.room THEN 4000 - s.n ELSE f.room - s.n END)::BIGINT
+  FROM fold f JOIN sized s ON s.rel_path = f.rel_path AND s.block_idx = f.block_idx + 1),
+placed AS (SELECT b.*, sum(new::INT) OVER (PARTITION BY b.rel_path ORDER BY b.block_idx) - 1 AS parent_idx FROM fold f JOIN blk b ON b.rel_path = f.rel_path AND b.block_idx = f.block_idx),
+par AS (SELECT rel_path, parent_idx::INT AS parent_idx, arg_min(h_path, block_idx) AS h_path, string_agg(text, '' ORDER BY block_idx) AS whole, coalesce(string_agg(text, chr(10) ORDER BY block_idx) FILTER (kind = 'code'), '') AS code, coalesce(string_agg(text, chr(10) ORDER BY block_idx) FILTER (kind = 'heading'), '') AS heads FROM placed GROUP BY rel_path, placed.parent_idx)"""
+SQL["chunk_blocks"] = _BLOCKS_SQL + " SELECT rel_path, block_idx, kind, level, h_path, text FROM blk"
+SQL["chunk_parents"] = _PARENTS_SQL + f" SELECT sha1(rel_path || '::' || parent_idx) AS parent_id, rel_path, parent_idx, h_path, whole AS text, list_sort(list_distinct(list_concat({_code_symbols('code')}, {_heading_symbols('heads')}))) AS api_symbols FROM par"
