@@ -8,14 +8,19 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+import urllib.request
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+
+import pandas as pd
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skarn.operators.fusion import first_seen, judged
+from skarn.plans.stage import write_stage
 
 MOST_QUERIES, MOST_JUDGED, FREE_RANKS, REASON_CHARS = 3, 12, 3, 200
 PROFILE_NAMES = ("general", "servicenow", "personal")
@@ -32,6 +37,46 @@ class Plan:
     reason: str
 
 
+#: Characters of the evidence that a judge is shown.
+EXCERPT_CHARS = 1_200
+
+
+@dataclass(frozen=True)
+class ChatEndpoint:
+    """A chat-completions server as planner or judge: called with a prompt it gives the answer's text. Any failure to get one is ``PlannerUnavailable``."""
+
+    url: str
+    model: str
+    max_tokens: int = 400
+    timeout: float = 60.0
+
+    def _get(self, path: str, body: dict | None = None) -> dict:
+        data = None if body is None else json.dumps(body).encode()
+        request = urllib.request.Request(self.url.rstrip("/") + path, data, {"Content-Type": "application/json"})
+        try:
+            with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+                return json.loads(answer.read())
+        except (OSError, ValueError) as error:
+            raise PlannerUnavailable(f"{self.url}: {error}") from error
+
+    def __call__(self, prompt: str) -> str:
+        body = {"model": self.model, "messages": [{"role": "user", "content": prompt}], "temperature": 0, "max_tokens": self.max_tokens}
+        answer = self._get("/chat/completions", body)
+        try:
+            return answer["choices"][0]["message"]["content"]
+        except (KeyError, IndexError, TypeError) as error:
+            raise PlannerUnavailable(f"{self.url}: an answer without content") from error
+
+    def reachable(self) -> bool:
+        """Whether the server has the model, a tag behind its name aside."""
+        try:
+            listed = self._get("/models").get("data") or []
+        except PlannerUnavailable:
+            return False
+        names = [str(m.get("id")) for m in listed if isinstance(m, dict)]
+        return any(n == self.model or n.startswith(self.model + ":") for n in names)
+
+
 def no_planner(question: str) -> str:
     raise PlannerUnavailable("no planner was given")
 
@@ -57,6 +102,59 @@ def plan(question: str, ask: Callable[[str], str] = no_planner) -> Plan:
     return Plan(tuple(queries[:MOST_QUERIES] or [question]), profile if profile in PROFILE_NAMES else "general", str(answer.get("reason") or "")[:REASON_CHARS])
 
 
+def plans_of(questions: DataFrame, ask: Callable[[str], str] = no_planner) -> DataFrame:
+    """(question_id, query_idx, query_id, text, profile, reason): the sub-queries planned for each question (query_id, text). The planner is asked on the executors, once a question; an answer that holds no plan, or no planner, is an error."""
+    kind = questions.schema["query_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for qid, text in zip(pdf["query_id"], pdf["text"]):
+                made = plan(text or "", ask)
+                rows += [(qid, i, f"{qid}#{i}", q, made.profile, made.reason) for i, q in enumerate(made.queries)]
+            yield pd.DataFrame(rows, columns=["question_id", "query_idx", "query_id", "text", "profile", "reason"])
+
+    return questions.select("query_id", "text").mapInPandas(run, f"question_id {kind}, query_idx int, query_id string, text string, profile string, reason string")
+
+
+def is_relevant(answer: Column) -> Column:
+    """A judge's answer in words as a verdict: anything that does not begin with "no" is a yes; no answer is none."""
+    return ~F.startswith(F.lower(F.ltrim(answer)), F.lit("no"))
+
+
+def verdicts(pool: DataFrame, questions: DataFrame, judge: Callable[[str, str], str]) -> DataFrame:
+    """The pool (question_id, rank, text, ...) with ``relevant``: what the judge says of the question and the first EXCERPT_CHARS of each piece of evidence that it may be asked about; null for the others."""
+    asked = pool.join(questions.select(F.col("query_id").alias("question_id"), F.col("text").alias("_question")), "question_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            wanted = (pdf["rank"] > FREE_RANKS) & (pdf["rank"] <= FREE_RANKS + MOST_JUDGED)
+            pdf["_answer"] = [judge(q or "", (t or "")[:EXCERPT_CHARS]) if w else None for q, t, w in zip(pdf["_question"], pdf["text"], wanted)]
+            yield pdf.drop(columns="_question")
+
+    schema = pool.select(*[c for c in asked.columns if c != "_question"]).schema.add("_answer", "string")
+    return asked.mapInPandas(run, schema).withColumn("relevant", is_relevant(F.col("_answer"))).drop("_answer")
+
+
+def research(questions: DataFrame, ask: Callable[[str], str], retrieve: Callable[[DataFrame, str], DataFrame], judge: Callable[[str, str], str] | None, budget: int = 6) -> DataFrame:
+    """The whole loop for a batch of questions (query_id, text): plan, retrieve, pool, judge, cut.
+
+    ``retrieve`` gives, for sub-queries (query_id, text) and a profile, hits (query_id, doc_id, rank, score, text) at
+    least max(3 budget, budget + 4) deep. Returns (question_id, rank, doc_id, score, profile, n_judged), at most
+    ``budget`` rows a question. Without a judge the first ``budget`` of the pool are kept and n_judged is 0.
+    """
+    planned = write_stage(plans_of(questions, ask), "plans")
+    arms = [retrieve(planned.where(F.col("profile") == name).select("query_id", "text"), name).select("query_id", "doc_id", "rank", "score", "text") for name in PROFILE_NAMES]
+    hits = reduce(DataFrame.unionByName, arms).join(planned.select("query_id", "question_id", "query_idx", "profile"), "query_id")
+    pool = evidence_pool(hits.withColumn("doc_id", F.col("doc_id").cast("string")), "doc_id", budget)
+    if judge is None:
+        kept = pool.where(F.col("rank") <= budget).withColumn("n_judged", F.lit(0).cast("long"))
+    else:
+        # asked once, however often the verdicts are read
+        kept = brief(write_stage(verdicts(pool, questions, judge), "judged"), F.col("relevant"), budget)
+    return kept.select("question_id", "rank", "doc_id", "score", "profile", "n_judged")
+
+
 def evidence_pool(hits: DataFrame, parent: str, budget: int) -> DataFrame:
     """The pool of each question from the hits (question_id, query_idx, rank, score, parent, ...) of its sub-queries.
 

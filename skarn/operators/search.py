@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from skarn.functions import text as X
 from skarn.operators import fusion, lexical, vector
+from skarn.plans.stage import write_stage
 
 # What each kind of answer may hold.
 CAPS = {
@@ -122,6 +123,56 @@ class Search:
         return marked.drop("_symbols", "_text", "_hit").join(used, "query_id")
 
 
+BAD_REQUEST, BACKEND_UNAVAILABLE = "BAD_REQUEST", "BACKEND_UNAVAILABLE"
+
+
+@dataclass(frozen=True)
+class Answer:
+    """What a search tool gives back: items and citations, or the kind of error and what it says."""
+
+    error: str | None = None
+    message: str = ""
+    items: DataFrame | None = None
+    citations: DataFrame | None = None
+
+
+def citations(kept: DataFrame, key: str = "rel_path") -> DataFrame:
+    """(query_id, citations[]): the files of the kept items in the order first seen, each once. An answer has a bounded number of items."""
+    first = kept.where(F.col(key).isNotNull()).groupBy("query_id", key).agg(F.min("rank").alias("_rank"))
+    listed = F.array_sort(F.collect_list(F.struct("_rank", key)))
+    return first.groupBy("query_id").agg(F.transform(listed, lambda s: s[key]).alias("citations"))
+
+
+def answered(find: Callable[[], DataFrame], texts: DataFrame, max_words: int = 150, max_chars: int = 6000) -> Answer:
+    """Run a search and cap its answer. A wrong argument is BAD_REQUEST, anything that fails behind it BACKEND_UNAVAILABLE; citations are those of the items that were kept."""
+    try:
+        hits = write_stage(find(), "hits")
+        kept = write_stage(capped_answer(hits, texts, max_words, max_chars), "answer")
+        return Answer(items=kept, citations=citations(kept.join(hits.select("query_id", "rank", "rel_path"), ["query_id", "rank"])))
+    except ValueError as error:
+        return Answer(BAD_REQUEST, str(error))
+    except Exception as error:
+        return Answer(BACKEND_UNAVAILABLE, f"{type(error).__name__}: {error}")
+
+
+#: The longest pattern of a line search.
+MOST_PATTERN = 500
+
+
+def find_lines(sections: DataFrame, pattern: str, profile: Profile, folder: str | None = None, fixed: bool = True, max_per_file: int | None = None, context: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Lines of the sections (rel_path, text, source) that a profile reaches, and the files (rel_path), each once. ValueError for an empty or too long pattern, and for a folder unless the profile is that of the official source."""
+    if not pattern or len(pattern) > MOST_PATTERN:
+        raise ValueError(f"a pattern has 1 to {MOST_PATTERN} characters")
+    if folder is not None and profile.sources != ("official",):
+        raise ValueError(f"profile {profile.name!r} can't be restricted to a folder")
+    keep = build_filter(profile.sources)
+    inside = sections if keep is None else sections.where(keep)
+    if folder is not None:
+        inside = inside.where(F.startswith("rel_path", F.lit(folder.strip("/") + "/")))
+    hits = lexical.line_search(inside, pattern, fixed, "rel_path", max_per_file, context)
+    return hits, hits.select("rel_path").distinct()
+
+
 def capped_answer(hits: DataFrame, texts: DataFrame, max_words: int = 150, max_chars: int = 6000) -> DataFrame:
     """(query_id, rank, doc_id, snippet, running): the prefix of each answer whose items fit, as JSON, into ``max_chars``; the first is always kept."""
     rows = hits.join(texts.select("doc_id", "text"), "doc_id").select("query_id", "rank", "doc_id", X.snippet(F.col("text"), max_words).alias("snippet"))

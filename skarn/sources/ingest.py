@@ -53,7 +53,10 @@ def ingest(spark: SparkSession, store: Snapshots, overwrite: bool = False, **doc
     taken = bool(old.where(F.col("rel_path") == path).limit(1).count())
     if taken and not overwrite:
         raise ValueError(f"{path} is taken")
-    store.write(catalog.replace_files(old, rows, docs.select("rel_path")))
+    if store.key:
+        store.replace(rows, docs.select("rel_path"))
+    else:
+        store.write(catalog.replace_files(old, rows, docs.select("rel_path")))
     digest = docs.select(F.sha2("text", 256)).first()[0]
     return Receipt(path, digest, sections.count(), n, taken)
 

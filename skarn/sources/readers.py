@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import uuid
 from pathlib import PurePosixPath
@@ -72,6 +74,52 @@ def golden_violations(golden: DataFrame) -> DataFrame:
     return broken.unionByName(repeated)
 
 
+def _local_rows(df: DataFrame, most: int) -> list[dict]:
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows; a question set is a file kept by hand")
+    return [r.asDict(recursive=True) for r in rows]
+
+
+#: Cases that a question set of one file may have.
+MOST_CASES = 10_000
+
+
+def _replace_file(path: str, text: str) -> None:
+    """Write a file beside the old one and move it there at once."""
+    beside = f"{path}.{uuid.uuid4().hex}"
+    with open(beside, "w", encoding="utf-8") as f:
+        f.write(text)
+    os.replace(beside, path)
+
+
+def write_golden(cases: DataFrame, path: str) -> int:
+    """Write cases to a YAML question set, in the order of their ids, empty fields left out; their number. ValueError beyond MOST_CASES."""
+    import yaml
+
+    rows = sorted(_local_rows(cases.select(*GOLDEN_SCHEMA.names), MOST_CASES), key=lambda r: r["id"])
+    _replace_file(path, yaml.safe_dump([{k: v for k, v in r.items() if v is not None} for r in rows], allow_unicode=True, sort_keys=False))
+    return len(rows)
+
+
+def append_golden_file(spark: SparkSession, path: str, new: DataFrame, corpus: DataFrame) -> int:
+    """Add checked cases (see ``append_golden``) to a YAML question set, which may not be there yet; the number of its cases."""
+    old = read_golden(spark, path) if os.path.exists(path) else spark.createDataFrame([], GOLDEN_SCHEMA)
+    negative = F.when(F.coalesce("expect_no_answer", F.lit(False)), "negative").otherwise(F.col("provenance"))
+    return write_golden(append_golden(old, new.withColumn("provenance", negative), corpus), path)
+
+
+def mined_cases(mined: DataFrame, profile: str = "general") -> DataFrame:
+    """Mined questions (project, text, slug) as cases to be completed: ids of slug and number, provenance real, no expectation yet."""
+    order = Window.partitionBy("slug").orderBy("text")
+    number = F.row_number().over(order)
+    case_id = F.when(number == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", number.cast("string")))
+    return mined.select(
+        case_id.alias("id"), F.col("text").alias("question"), F.lit(profile).alias("profile"), F.lit("real").alias("provenance"),
+        F.array().cast("array<string>").alias("expected_rel_paths"), F.lit(False).alias("expect_no_answer"), F.concat(F.lit("from "), F.col("project")).alias("notes"),
+    )
+
+
 def append_golden(old: DataFrame, new: DataFrame, corpus: DataFrame) -> DataFrame:
     """The set with new cases added; ValueError if one breaks the schema, repeats an id, or expects a path (rel_path) that isn't in the corpus."""
     bad = golden_violations(new).limit(5).collect()
@@ -164,31 +212,107 @@ def literal_document(spark: SparkSession, content: str | None = None, path: str
 
 
 class Snapshots:
-    """A table kept as written snapshots with a pointer to the current one: readers see the old one until the new one is whole."""
+    """A table kept as written snapshots with a pointer to the current one: readers see the old one until the new one is whole.
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    With a key, the table is cut into ``buckets`` by its hash; a snapshot lists a folder for each bucket, and replacing
+    the rows of some keys writes anew only the buckets that hold one of them. The pointer is moved by one atomic rename.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, key: str | None = None, buckets: int = 64) -> None:
+        self.spark, self.root, self.key, self.buckets = spark, root.rstrip("/"), key, buckets if key else 1
         self._pointer = f"{self.root}/CURRENT"
 
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+
     def _fs(self):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._pointer)
-        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        path = self._path(self._pointer)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _lines(self, name: str) -> list[str]:
+        return [r[0] for r in self.spark.read.text(name).collect()]
 
     def current(self) -> str | None:
-        path, fs = self._fs()
-        return self.spark.read.text(self._pointer).first()[0] if fs.exists(path) else None
+        return self._lines(self._pointer)[0] if self._fs().exists(self._path(self._pointer)) else None
 
-    def read(self) -> DataFrame:
-        name = self.current()
+    def _folders(self, name: str) -> dict[int, str]:
+        """The folder of each bucket that a snapshot has rows in."""
+        return {int(b): f for b, f in json.loads(self._lines(f"{self.root}/{name}.json")[0]).items()}
+
+    def _write(self, name: str, text: str) -> None:
+        stream = self._fs().create(self._path(name), True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+
+    def _point_to(self, name: str) -> None:
+        """Move a whole file over the pointer: readers see the old or the new one."""
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
+        beside = f"{self._pointer}.{uuid.uuid4().hex}"
+        self._write(beside, name)
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.root).toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(self._path(beside), self._path(self._pointer), how)
+
+    def _read(self, folders: list[str]) -> DataFrame:
+        return self.spark.read.parquet(*(f"{self.root}/{f}" for f in folders)).drop("_bucket")
+
+    def read(self, name: str | None = None) -> DataFrame:
+        """The current snapshot, or an older one."""
+        name = name or self.current()
         if name is None:
             raise FileNotFoundError(self._pointer)
-        return self.spark.read.parquet(f"{self.root}/{name}")
+        return self._read(sorted(set(self._folders(name).values())))
 
-    def write(self, df: DataFrame) -> None:
-        """Write a snapshot, then move the pointer."""
+    def _bucket(self) -> F.Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int") if self.key else F.lit(0)
+
+    def _add(self, df: DataFrame, kept: dict[int, str]) -> str:
         name = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{name}")
-        path, fs = self._fs()
-        stream = fs.create(path, True)
-        stream.write(bytearray(name.encode()))
-        stream.close()
+        rows = df.withColumn("_bucket", self._bucket())
+        (rows.repartition("_bucket") if self.key else rows).write.partitionBy("_bucket").parquet(f"{self.root}/{name}")
+        base = self._path(f"{self.root}/{name}")
+        there = [s.getPath().getName() for s in self._fs().listStatus(base)]
+        new = {int(n.split("=")[1]): f"{name}/{n}" for n in there if n.startswith("_bucket=")}
+        if not new and not kept:
+            # a table without rows keeps its columns
+            df.limit(0).coalesce(1).write.parquet(f"{self.root}/{name}/none")
+            new = {-1: f"{name}/none"}
+        self._write(f"{self.root}/{name}.json", json.dumps(kept | new))
+        self._point_to(name)
+        return name
+
+    def write(self, df: DataFrame) -> None:
+        """Write a snapshot of the whole table, then move the pointer."""
+        self._add(df, {})
+
+    def replace(self, df: DataFrame, keys: DataFrame) -> None:
+        """Replace the rows of the given keys by the new rows, whose keys must be among them. Only buckets that hold one of the keys are read and written."""
+        if self.key is None:
+            raise ValueError("rows are replaced by key")
+        if self.current() is None:
+            return self.write(df)
+        folders = self._folders(self.current())
+        touched = {r[0] for r in keys.select(self._bucket().alias("b")).distinct().collect()}
+        old = [f for b, f in folders.items() if b in touched]
+        kept = {b: f for b, f in folders.items() if b not in touched and b >= 0}
+        rest = self._read(old).join(keys.select(self.key).distinct(), self.key, "left_anti") if old else None
+        self._add(df if rest is None else rest.unionByName(df), kept)
+
+    def rollback(self, name: str) -> None:
+        """Make an older snapshot the current one."""
+        self._folders(name)
+        self._point_to(name)
+
+    def cleanup(self) -> int:
+        """Delete the folders and lists that the current snapshot does not use; their number."""
+        name = self.current()
+        used = {f.split("/")[0] for f in self._folders(name).values()} if name else set()
+        gone = 0
+        for status in self._fs().listStatus(self._path(self.root)):
+            found = status.getPath().getName()
+            if found.startswith("v-") and found not in used and found != f"{name}.json":
+                self._fs().delete(status.getPath(), True)
+                gone += 1
+        return gone

@@ -6,18 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from skarn.operators import catalog, chunking
+from skarn.operators import chunking
 from skarn.sources.readers import Snapshots
 
 DOCUMENT_SCHEMA = "rel_path string, text string, recorded_at timestamp"
 
 
 def index_batch(batch: DataFrame, store: Snapshots) -> None:
-    """Chunk the latest version of each document of a batch and replace its rows in the store. Running a batch again gives the same table."""
+    """Chunk the latest version of each document of a batch and replace its rows in the store, kept by rel_path. Only the buckets of these documents are rewritten. Running a batch again gives the same table."""
     docs = batch.where(F.col("rel_path").isNotNull()).groupBy("rel_path").agg(F.max_by("text", "recorded_at").alias("text"))
     rows = chunking.children(chunking.sections(docs))
-    old = store.read() if store.current() else rows.limit(0)
-    store.write(catalog.replace_files(old, rows, docs.select("rel_path")))
+    store.replace(rows, docs.select("rel_path"))
 
 
 def index_stream(spark: SparkSession, source: str, store: Snapshots, checkpoint: str, schema: str = DOCUMENT_SCHEMA) -> StreamingQuery:

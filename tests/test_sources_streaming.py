@@ -61,7 +61,7 @@ def test_destinations_and_literals(spark, tmp_path):
 
 
 def test_index_stream_replaces_and_resumes(spark, tmp_path):
-    store = R.Snapshots(spark, str(tmp_path / "store"))
+    store = R.Snapshots(spark, str(tmp_path / "store"), "rel_path", 8)
     docs = lambda data: spark.createDataFrame(data, "rel_path string, text string, recorded_at timestamp")
     from datetime import datetime
 
@@ -78,3 +78,56 @@ def test_index_stream_replaces_and_resumes(spark, tmp_path):
 def test_stage_round_trip(spark):
     df = spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
     assert rows(write_stage(df, "t")) == rows(df)
+
+
+def test_snapshots_replace_roll_back_and_clean(spark, tmp_path):
+    store = R.Snapshots(spark, str(tmp_path / "t"), "k", 4)
+    with pytest.raises(FileNotFoundError):
+        store.read()
+    store.write(spark.range(20).selectExpr("id AS k", "'old' AS v"))
+    first = store.current()
+    folders = store._folders(first)
+    store.replace(spark.createDataFrame([(3, "new"), (3, "more")], "k long, v string"), spark.createDataFrame([(3,), (7000,)], "k long"))
+    assert len(rows(store.read())) == 21 and rows(store.read().where("v <> 'old'")) == [(3, "more"), (3, "new")]
+    now = store._folders(store.current())
+    assert sum(now[b] != folders[b] for b in folders) <= 2  # the other buckets were left alone
+    store.rollback(first)
+    assert rows(store.read()) == sorted([(i, "old") for i in range(20)], key=str)
+    assert store.cleanup() >= 1 and store.read().count() == 20
+    empty = R.Snapshots(spark, str(tmp_path / "e"), "k")
+    empty.write(spark.range(0).selectExpr("id AS k"))
+    assert empty.read().columns == ["k"] and empty.read().count() == 0
+
+
+def test_late_rows_are_dropped_behind_the_watermark(spark, tmp_path):
+    from datetime import datetime
+
+    from skarn.streaming.index_stream import change_counts
+
+    src, schema = str(tmp_path / "in"), "event_type string, ts timestamp, value double"
+    add = lambda data: spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(src)
+
+    def run():
+        query = change_counts(spark, src, schema).writeStream.trigger(availableNow=True).outputMode("update").option("checkpointLocation", str(tmp_path / "s")).foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(str(tmp_path / "out" / f"batch={n}"))).start()
+        query.awaitTermination()
+
+    add([("a", datetime(2025, 1, 1, 5), 1.0), ("a", datetime(2025, 1, 9, 5), 2.0)])
+    run()
+    add([("a", datetime(2025, 1, 1, 6), 4.0), ("a", datetime(2025, 1, 9, 6), 8.0)])
+    run()
+    got = spark.read.parquet(str(tmp_path / "out")).groupBy(R.F.date_format("window.start", "dd").alias("d")).agg(R.F.max("total").alias("t"))
+    assert rows(got) == [("01", 1.0), ("09", 10.0)]
+
+
+def test_question_sets_as_files(spark, tmp_path):
+    path = str(tmp_path / "g.yaml")
+    corpus = spark.createDataFrame([("x.md",)], "rel_path string")
+    case = lambda *v: spark.createDataFrame([v], R.GOLDEN_SCHEMA)
+    assert R.append_golden_file(spark, path, case("a", "what is é?", None, "real", ["x.md"], None, None), corpus) == 1
+    assert R.append_golden_file(spark, path, case("b", "who?", None, "real", [], True, None), corpus) == 2
+    assert rows(R.read_golden(spark, path), "id", "question", "provenance") == [("a", "what is é?", "real"), ("b", "who?", "negative")]
+    with pytest.raises(ValueError, match="ids in use"):
+        R.append_golden_file(spark, path, case("a", "again?", None, "real", ["x.md"], None, None), corpus)
+    mined = spark.createDataFrame([("p", "How to x?", "how-to-x"), ("q", "How to x!", "how-to-x")], "project string, text string, slug string")
+    assert rows(R.mined_cases(mined), "id") == [("how-to-x",), ("how-to-x-2",)]
+    assert R.write_golden(R.mined_cases(mined), path) == 2
