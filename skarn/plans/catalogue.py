@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skarn.plans import corpus_queries, evaluation_queries, pipeline_queries, reference_queries, retrieval_queries, streaming_queries
+from skarn.plans import corpus_queries, evaluation_queries, maintenance_queries, pipeline_queries, reference_queries, retrieval_queries, streaming_queries
 
-_MODULES = [reference_queries, retrieval_queries, corpus_queries, evaluation_queries, pipeline_queries, streaming_queries]
+_MODULES = [reference_queries, retrieval_queries, corpus_queries, evaluation_queries, pipeline_queries, maintenance_queries, streaming_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

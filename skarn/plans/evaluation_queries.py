@@ -91,12 +91,6 @@ def latency_percentiles(spark, d):
     return evaluate.percentiles(table(spark, d, "events", "event_type", "value"), "event_type", "value").withColumns({c: F.round(c, 6) for c in ("p50", "p95_eval", "p95_planner", "p90_rank")})
 
 
-def run_summary(spark, d):
-    """Runs of a planner, made from the events: per type and overall in one pass."""
-    rows = table(spark, d, "events").select("event_type", (F.col("event_id") % 17 == 0).alias("failed"), (F.col("event_id") % 3 == 0).alias("hit"), (F.col("user_id") % 2 == 0).alias("routed"), F.col("value").alias("elapsed"))
-    return evaluate.summary_with_total(rows, "event_type").withColumns({c: F.round(c, 6) for c in ("recall", "routing", "p50")})
-
-
 def golden_coverage(spark, d):
     once = table(spark, d, "golden").groupBy("id").agg(F.min(F.struct(F.coalesce("profile", F.lit("none")).alias("profile"), F.coalesce("provenance", F.lit("none")).alias("provenance"))).alias("v"))
     n = once.groupBy("v.profile", "v.provenance").agg(F.count(F.lit(1)).alias("n"))
@@ -134,7 +128,7 @@ def judged_brief(spark, d):
     return research.brief(pool, F.conv(F.right("parent_id", F.lit(1)), 16, 10).cast("int") % 2 == 0, 6).select("question_id", "parent_id", "rank", "n_judged")
 
 
-QUERIES = {f.__name__: f for f in (first_rank, recall_mrr, gate, unwinnable, out_of_reach, arm_disagreement, stage_loss, loss_counts, latency_percentiles, run_summary, golden_coverage, token_savings, evidence_pool, judged_brief)}
+QUERIES = {f.__name__: f for f in (first_rank, recall_mrr, gate, unwinnable, out_of_reach, arm_disagreement, stage_loss, loss_counts, latency_percentiles, golden_coverage, token_savings, evidence_pool, judged_brief)}
 
 _CASES = """once AS (SELECT id, min(struct_pack(question := question, profile := profile, provenance := provenance, expected := expected_rel_paths, no_answer := coalesce(expect_no_answer, false))) AS v FROM golden GROUP BY id),
 cases AS (SELECT id AS query_id, v.question AS text, coalesce(v.profile, 'none') AS profile, coalesce(v.provenance, 'none') AS provenance, v.expected AS expected FROM once WHERE NOT v.no_answer),
@@ -184,7 +178,6 @@ SQL = {
     "stage_loss": _LOSS + " SELECT query_id, verdict FROM loss",
     "loss_counts": _LOSS + " SELECT verdict, count(*) AS n FROM loss GROUP BY verdict",
     "latency_percentiles": "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, max(n) AS n, round(median(value), 6) AS p50, round(max(CASE WHEN r = CASE WHEN n >= 20 THEN n * 95 // 100 ELSE n END THEN value END), 6) AS p95_eval, round(max(CASE WHEN r = greatest(1, n * 95 // 100) THEN value END), 6) AS p95_planner, round(max(CASE WHEN r = least(n * 9 // 10 + 1, n) THEN value END), 6) AS p90_rank FROM r GROUP BY event_type",
-    "run_summary": "WITH e AS (SELECT event_type, event_id % 17 = 0 AS failed, event_id % 3 = 0 AS hit, user_id % 2 = 0 AS routed, value FROM events) SELECT CASE WHEN grouping(event_type) = 1 THEN 'all' ELSE event_type END AS event_type, count(*) AS n, count(*) FILTER (failed) AS n_failed, round(avg(CASE WHEN NOT failed THEN hit::INT::DOUBLE END), 6) AS recall, round(avg(CASE WHEN NOT failed THEN routed::INT::DOUBLE END), 6) AS routing, round(median(value), 6) AS p50 FROM e GROUP BY GROUPING SETS ((event_type), ())",
     "golden_coverage": "WITH o AS (SELECT id, min(struct_pack(profile := coalesce(profile, 'none'), provenance := coalesce(provenance, 'none'))) AS v FROM golden GROUP BY id) SELECT v.profile AS profile, v.provenance AS provenance, count(*) AS n, greatest(20 - count(*), 0) AS gap FROM o GROUP BY 1, 2",
     "token_savings": _search(_ranked_sql("a", "sec", True, 5), "st AS (SELECT doc_id, rel_path, greatest(1, length(text) // 4) AS tokens FROM sec)", "w AS (SELECT rel_path, sum(tokens) AS file_tokens FROM st GROUP BY rel_path)", "rows AS (SELECT query_id, a.doc_id, st.rel_path, tokens, file_tokens FROM a JOIN st ON a.doc_id = st.doc_id JOIN w ON st.rel_path = w.rel_path)", "n AS (SELECT query_id, sum(file_tokens) AS naive FROM (SELECT DISTINCT query_id, rel_path, file_tokens FROM rows) GROUP BY query_id)") + " SELECT rows.query_id, any_value(naive)::BIGINT AS naive_tokens, sum(tokens)::BIGINT AS section_tokens, round(any_value(naive) / sum(tokens)::DOUBLE, 4) AS ratio, bool_or((rows.query_id, rel_path) IN (SELECT (query_id, doc_id) FROM expected)) AS hit FROM rows JOIN n ON rows.query_id = n.query_id GROUP BY rows.query_id",
     "evidence_pool": _pool_sql(12) + " SELECT question_id, parent_id, rank FROM pool",
