@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from skarn.functions import text as X
 from skarn.operators import catalog, chunking, fusion, lexical
 from skarn.plans.tables import spread, table
+from skarn.sources import readers
 
 
 def _manifest(spark, d):
@@ -206,21 +207,20 @@ def corpus_projection(spark, d):
     return ranked.groupBy("source").agg(F.count(F.lit(1)).alias("n_files"), F.sum("n").alias("n_sections"), F.avg("n").alias("mean"), F.percentile("n", 0.5).alias("median"), F.max(F.when(F.col("r") == F.floor(F.col("c") * 9 / 10) + 1, F.col("n"))).alias("p90"), F.max("n").alias("most"))
 
 
+#: What the questions among messages must be about.
+DOMAIN = r"(?i)\b(?:role|flow|field|table|script|record|rollback|ticket|digest|policy|sensor|deck)s?\b"
+
+
 def golden_messages(spark, d):
-    """Questions among messages: shape and length, deduplicated by key, with a slug."""
-    q = table(spark, d, "golden", "id", "question")
-    n_words = F.size(X.words(F.col("question")))
-    shape = F.col("question").rlike(r"(?i)^\s*(how|what|why|when|where|which|who|can |could |does |do |is |are |should |would )") | F.rtrim("question").endswith("?")
-    rows = q.where(n_words.between(4, 60) & shape).withColumn("key", X.dedupe_key(F.col("question")))
-    first = rows.groupBy("key").agg(F.min(F.struct("id", "question")).alias("v"))
-    return first.select("v.id", "v.question", X.slug(F.col("v.question")).alias("slug"))
+    """Questions of the domain among messages, mined as from transcripts: the questions of a profile are one project."""
+    q = table(spark, d, "golden", "id", "question", "profile")
+    return readers.mined_questions(q.select(F.col("profile").alias("project"), F.col("id").alias("file"), F.lit(1).alias("line_no"), F.col("question").alias("text")), DOMAIN)
 
 
 def last_documents(spark, d):
-    """The last text of each source: the latest row's first 64 characters, white space collapsed."""
+    """The last text of each source, cut as the last message of a transcript is."""
     rows = table(spark, d, "documents", "doc_id", "source", "text", "collected_at").where(F.col("text").isNotNull() & (F.trim("text") != ""))
-    last = rows.groupBy("source").agg(F.max_by(F.struct("doc_id", F.substring("text", 1, 400).alias("t")), F.struct("collected_at", "doc_id")).alias("v"))
-    return last.select("source", "v.doc_id", F.substring(F.array_join(X.words(F.col("v.t")), " "), 1, 64).alias("summary"))
+    return readers.last_prompts(rows.select(F.col("source").alias("file"), F.struct("collected_at", "doc_id").alias("line_no"), "text"))
 
 
 QUERIES = {
@@ -312,9 +312,9 @@ SQL = {
     "outlines": f"WITH p AS (SELECT min(struct_pack(rel_path := rel_path, parent_idx := parent_idx, h_path := coalesce(h_path, ''))) AS v FROM parents GROUP BY parent_id), r AS (SELECT v.rel_path AS rel_path, v.h_path AS h_path, row_number() OVER (PARTITION BY v.rel_path ORDER BY v.parent_idx, v.h_path) AS n FROM p), src AS (SELECT rel_path, string_agg(n || '. ' || h_path, chr(10) ORDER BY n) AS text, count(*) AS n_sections FROM r WHERE n <= 40 GROUP BY rel_path), heads AS {_truncate(3000)} SELECT rel_path, n_sections, out AS outline, truncated FROM done",
     "locate_rank": "WITH p AS (SELECT min(struct_pack(rel_path := rel_path, h_path := h_path, text := text)) AS v FROM parents GROUP BY parent_id), f AS (SELECT v.rel_path AS rel_path, sum(len(string_split(lower(v.text), 'rollback')) - 1) AS n, max(coalesce(contains(lower(v.h_path), 'rollback'), false)) AS h FROM p GROUP BY 1), g AS (SELECT *, contains(lower(regexp_extract(rel_path, '[^/]*$')), 'rollback') AS s FROM f) SELECT rel_path, (least(n, 20) + CASE WHEN h THEN 40 ELSE 0 END + CASE WHEN s THEN 25 ELSE 0 END - CASE WHEN contains(lower(rel_path), 'glossary') THEN 15 ELSE 0 END)::BIGINT AS score FROM g WHERE n > 0 OR s ORDER BY score DESC, rel_path DESC LIMIT 30",
     "corpus_projection": f"WITH {_MANIFEST}, per AS (SELECT rel_path, count(DISTINCT parent_id) AS n FROM parents GROUP BY rel_path), r AS (SELECT m.source, m.rel_path, coalesce(n, 0) AS n FROM manifest m LEFT JOIN per ON m.rel_path = per.rel_path), k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n, rel_path) AS rn, count(*) OVER (PARTITION BY source) AS c FROM r) SELECT source, count(*) AS n_files, sum(n)::BIGINT AS n_sections, avg(n) AS mean, median(n) AS median, max(CASE WHEN rn = c * 9 // 10 + 1 THEN n END) AS p90, max(n) AS most FROM k GROUP BY source",
-    "golden_messages": "WITH w AS (SELECT id, question, len(list_filter(string_split_regex(trim(question), '\\s+'), lambda x: x <> '')) AS n FROM golden), k AS (SELECT *, substr(regexp_replace(lower(question), '[^a-z0-9 ]', '', 'g'), 1, 80) AS key FROM w WHERE n BETWEEN 4 AND 60 AND (regexp_matches(question, '(?i)^\\s*(how|what|why|when|where|which|who|can |could |does |do |is |are |should |would )') OR ends_with(rtrim(question), '?'))), f AS (SELECT min(struct_pack(id := id, question := question)) AS v FROM k GROUP BY key) SELECT v.id AS id, v.question AS question, regexp_replace(substr(regexp_replace(lower(v.question), '[^a-z0-9]+', '-', 'g'), 1, 40), '^-+|-+$', '', 'g') AS slug FROM f",
+    "golden_messages": f"WITH m AS (SELECT id, profile AS project, question AS raw, trim(regexp_replace(question, '\\s+', ' ', 'g')) AS clean FROM golden WHERE NOT regexp_matches(question, '\\A(?:<|\\[Request interrupted|Caveat:|#|```)') AND NOT contains(question, 'tool_use_id') AND NOT contains(question, 'system-reminder') AND length(question) - length(replace(question, chr(10), '')) <= 6 AND length(question) <= 600), w AS (SELECT *, len(list_filter(string_split(clean, ' '), lambda x: x <> '')) AS n FROM m), k AS (SELECT *, substr(regexp_replace(lower(clean), '[^a-z0-9 ]', '', 'g'), 1, 80) AS key FROM w WHERE n BETWEEN 4 AND 60 AND NOT regexp_matches(clean, '{readers.COMMANDS.replace("'", "''")}') AND regexp_matches(clean, '{DOMAIN}') AND (regexp_matches(clean, '{readers.QUESTION_SHAPE.replace("'", "''")}') OR ends_with(rtrim(clean), '?'))), f AS (SELECT min(struct_pack(file := id, line_no := 1, project := project, clean := clean)) AS v FROM k GROUP BY key) SELECT v.project AS project, v.clean AS text, regexp_replace(substr(regexp_replace(lower(v.clean), '[^a-z0-9]+', '-', 'g'), 1, 40), '^-+|-+$', '', 'g') AS slug FROM f",
     "code_like": "SELECT DISTINCT id, regexp_matches(question, '\\b[a-z_$][\\w$]*\\.[a-z_$][\\w$]*|\\b[A-Z][a-z0-9]+[A-Z]\\w*|\\bsys_\\w+|\\b(?:gs|gr|g_form|g_user|current|previous)\\b') AS code_like, array_to_string(list_distinct(list_filter(regexp_extract_all(question, '\\b[a-z_$][\\w$]*\\.[a-z_$][\\w$]*|\\b[A-Z][a-z0-9]+[A-Z]\\w*|\\bsys_\\w+|\\b(?:gs|gr|g_form|g_user|current|previous)\\b'), lambda x: x <> '')), ' ') AS symbols FROM golden",
-    "last_documents": "WITH r AS (SELECT source, doc_id, substr(text, 1, 400) AS text, row_number() OVER (PARTITION BY source ORDER BY collected_at DESC NULLS LAST, doc_id DESC) AS n FROM documents WHERE text IS NOT NULL AND trim(text, ' ') <> '') SELECT source, doc_id, substr(array_to_string(" + _WORDS + ", ' '), 1, 64) AS summary FROM r WHERE n = 1",
+    "last_documents": "WITH r AS (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY collected_at DESC NULLS LAST, doc_id DESC) AS n FROM documents WHERE text IS NOT NULL AND trim(text, ' ') <> '') SELECT source AS file, substr(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' '), 1, 64) AS summary FROM r WHERE n = 1",
 }
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skarn.functions import text as X
 from skarn.operators import evaluate, fusion, lexical, research
 from skarn.plans.retrieval_queries import _BM25_PARTS, _ONCE, _ranked_sql, sections_with_source
+from skarn.plans.stage import write_stage
 from skarn.plans.tables import table
 
 
@@ -76,11 +77,12 @@ def arm_disagreement(spark, d):
 
 
 def stage_loss(spark, d):
-    s = sections_with_source(spark, d)
-    q = _scored(spark, d).select("query_id", "text")
-    hits = lexical.sparse_topk(q, s, 30)
-    by_file = lambda h: h.join(s.select("doc_id", "rel_path"), "doc_id").select("query_id", F.col("rel_path").alias("doc_id"), "rank")
-    return evaluate.stage_loss(q, by_file(hits), by_file(fusion.overlap_rerank(hits, q, s, 8)), _expected(spark, d), 8)
+    q, s, index = _indexed(spark, d)
+    hits = write_stage(lexical.sparse_topk(q, s, 30, index=index), "hits")
+    placed = lambda h: h.join(s.select("doc_id", "rel_path"), "doc_id")
+    by_file = lambda h: h.select("query_id", F.col("rel_path").alias("doc_id"), "rank")
+    deduped = fusion.best_per_parent(placed(hits), "rel_path")
+    return evaluate.stage_loss(q, by_file(placed(hits)), by_file(deduped), by_file(placed(fusion.overlap_rerank(hits, q, s, 8))), _expected(spark, d), 8)
 
 
 def loss_counts(spark, d):
@@ -110,6 +112,16 @@ def token_savings(spark, d):
     return cost.select("query_id", "naive_tokens", "section_tokens", F.round(F.col("naive_tokens") / F.col("section_tokens"), 4).alias("ratio"), F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
+def token_totals(spark, d):
+    """Both ways of reading over all cases: tokens in sum and median, their ratio, and the share of cases whose file is among the hits."""
+    rows = write_stage(token_savings(spark, d).withColumn("all", F.lit(1)), "costs")
+    middle = [evaluate.percentiles(rows, "all", c).select("all", F.col("p50").alias(f"median_{c}")) for c in ("naive_tokens", "section_tokens", "ratio")]
+    sums = rows.groupBy("all").agg(F.count(F.lit(1)).alias("n"), F.sum("naive_tokens").alias("naive_tokens"), F.sum("section_tokens").alias("section_tokens"), F.round(F.avg(F.col("hit").cast("double")), 6).alias("hit_rate"))
+    for m in middle:
+        sums = sums.join(m, "all")
+    return sums.withColumn("total_ratio", F.round(F.col("naive_tokens") / F.col("section_tokens"), 4)).drop("all")
+
+
 def _sub_hits(spark, d):
     """Hits of two sub-queries per case: the question by BM25 and without idf."""
     q, s, index = _indexed(spark, d)
@@ -128,7 +140,7 @@ def judged_brief(spark, d):
     return research.brief(pool, F.conv(F.right("parent_id", F.lit(1)), 16, 10).cast("int") % 2 == 0, 6).select("question_id", "parent_id", "rank", "n_judged")
 
 
-QUERIES = {f.__name__: f for f in (first_rank, recall_mrr, gate, unwinnable, out_of_reach, arm_disagreement, stage_loss, loss_counts, latency_percentiles, golden_coverage, token_savings, evidence_pool, judged_brief)}
+QUERIES = {f.__name__: f for f in (first_rank, recall_mrr, gate, unwinnable, out_of_reach, arm_disagreement, stage_loss, loss_counts, latency_percentiles, golden_coverage, token_savings, token_totals, evidence_pool, judged_brief)}
 
 _CASES = """once AS (SELECT id, min(struct_pack(question := question, profile := profile, provenance := provenance, expected := expected_rel_paths, no_answer := coalesce(expect_no_answer, false))) AS v FROM golden GROUP BY id),
 cases AS (SELECT id AS query_id, v.question AS text, coalesce(v.profile, 'none') AS profile, coalesce(v.provenance, 'none') AS provenance, v.expected AS expected FROM once WHERE NOT v.no_answer),
@@ -155,7 +167,8 @@ _LOSS = _search(
     "r AS (SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before) AS rank FROM o) WHERE rank <= 8)",
     "b AS (SELECT a.query_id, min(a.rank) AS v FROM a JOIN sec ON a.doc_id = sec.doc_id JOIN expected e ON a.query_id = e.query_id AND e.doc_id = sec.rel_path GROUP BY 1)",
     "c AS (SELECT r.query_id, min(r.rank) AS v FROM r JOIN sec ON r.doc_id = sec.doc_id JOIN expected e ON r.query_id = e.query_id AND e.doc_id = sec.rel_path GROUP BY 1)",
-    "loss AS (SELECT s.query_id, CASE WHEN b.v IS NULL THEN 'never retrieved' WHEN b.v <= 8 AND NOT coalesce(c.v <= 8, false) THEN 'lost by rerank' WHEN b.v > 8 AND coalesce(c.v <= 8, false) THEN 'rescued by rerank' WHEN coalesce(c.v <= 8, false) THEN 'ok' ELSE 'below cut' END AS verdict FROM scored s LEFT JOIN b ON s.query_id = b.query_id LEFT JOIN c ON s.query_id = c.query_id)",
+    "dd AS (SELECT u.query_id, min(u.r) AS v FROM (SELECT query_id, rel_path, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM (SELECT query_id, any_value(rel_path) AS rel_path, min(rank) AS rank FROM a JOIN sec ON a.doc_id = sec.doc_id GROUP BY query_id, coalesce(rel_path, '~' || a.doc_id))) u JOIN expected e ON u.query_id = e.query_id AND e.doc_id = u.rel_path GROUP BY 1)",
+    "loss AS (SELECT s.query_id, b.v AS rank_retrieved, dd.v AS rank_deduped, c.v AS rank_reranked, CASE WHEN b.v IS NULL THEN 'never retrieved' WHEN b.v <= 8 AND NOT coalesce(c.v <= 8, false) THEN 'lost by rerank' WHEN b.v > 8 AND coalesce(c.v <= 8, false) THEN 'rescued by rerank' WHEN coalesce(c.v <= 8, false) THEN 'ok' ELSE 'below cut' END AS verdict FROM scored s LEFT JOIN b ON s.query_id = b.query_id LEFT JOIN dd ON s.query_id = dd.query_id LEFT JOIN c ON s.query_id = c.query_id)",
 )
 
 
@@ -175,7 +188,7 @@ SQL = {
     "unwinnable": f"WITH {_CASES} SELECT query_id, doc_id, 'missing' AS reason FROM expected WHERE doc_id NOT IN (SELECT rel_path FROM files)",
     "out_of_reach": f"WITH {_CASES}, f AS (SELECT rel_path, min(source) AS source FROM files GROUP BY rel_path) SELECT e.query_id, e.doc_id, CASE WHEN f.rel_path IS NULL THEN 'missing' ELSE 'out of reach' END AS reason FROM expected e JOIN cases c ON e.query_id = c.query_id LEFT JOIN f ON e.doc_id = f.rel_path WHERE f.rel_path IS NULL OR (c.profile = 'servicenow' AND coalesce(source <> 'official', true)) OR (c.profile = 'personal' AND coalesce(source NOT IN ('personal', 'wiki', 'custom-app', 'code-graph'), true))",
     "arm_disagreement": _search(_ranked_sql("a", "sec", True, 60), _ranked_sql("b", "sec", False, 60), _files_sql("fa", "a"), _files_sql("fb", "b")) + " SELECT query_id, fa_first.first_rank AS rank_a, fb_first.first_rank AS rank_b FROM fa_first JOIN fb_first USING (query_id) WHERE fa_first.first_rank IS DISTINCT FROM fb_first.first_rank",
-    "stage_loss": _LOSS + " SELECT query_id, verdict FROM loss",
+    "stage_loss": _LOSS + " SELECT query_id, rank_retrieved, rank_deduped, rank_reranked, verdict FROM loss",
     "loss_counts": _LOSS + " SELECT verdict, count(*) AS n FROM loss GROUP BY verdict",
     "latency_percentiles": "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, max(n) AS n, round(median(value), 6) AS p50, round(max(CASE WHEN r = CASE WHEN n >= 20 THEN n * 95 // 100 ELSE n END THEN value END), 6) AS p95_eval, round(max(CASE WHEN r = greatest(1, n * 95 // 100) THEN value END), 6) AS p95_planner, round(max(CASE WHEN r = least(n * 9 // 10 + 1, n) THEN value END), 6) AS p90_rank FROM r GROUP BY event_type",
     "golden_coverage": "WITH o AS (SELECT id, min(struct_pack(profile := coalesce(profile, 'none'), provenance := coalesce(provenance, 'none'))) AS v FROM golden GROUP BY id) SELECT v.profile AS profile, v.provenance AS provenance, count(*) AS n, greatest(20 - count(*), 0) AS gap FROM o GROUP BY 1, 2",
@@ -186,3 +199,4 @@ z AS (SELECT *, least(3, rank - 1) + coalesce(sum(yes::INT) OVER (PARTITION BY q
 k AS (SELECT *, sum((rank > 3 AND reached)::INT) OVER (PARTITION BY question_id) AS n_judged FROM z)
 SELECT question_id, parent_id, rank, n_judged FROM (SELECT question_id, parent_id, row_number() OVER (PARTITION BY question_id ORDER BY rank) AS rank, n_judged::BIGINT AS n_judged FROM k WHERE reached AND (rank <= 3 OR yes)) WHERE rank <= 6""",
 }
+SQL["token_totals"] = f"SELECT count(*) AS n, sum(naive_tokens)::BIGINT AS naive_tokens, sum(section_tokens)::BIGINT AS section_tokens, round(avg(hit::INT::DOUBLE), 6) AS hit_rate, median(naive_tokens)::DOUBLE AS median_naive_tokens, median(section_tokens)::DOUBLE AS median_section_tokens, median(ratio) AS median_ratio, round(sum(naive_tokens) / sum(section_tokens)::DOUBLE, 4) AS total_ratio FROM ({SQL['token_savings']}) HAVING count(*) > 0"

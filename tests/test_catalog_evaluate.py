@@ -66,7 +66,7 @@ def test_stage_loss_and_unwinnable(spark):
     exp = spark.createDataFrame([(x, "d") for x in "abcde"], "query_id string, doc_id string")
     before = spark.createDataFrame([("a", "d", 1), ("b", "d", 1), ("c", "d", 9), ("e", "d", 9)], "query_id string, doc_id string, rank int")
     after = spark.createDataFrame([("a", "d", 2), ("c", "d", 3)], "query_id string, doc_id string, rank int")
-    assert rows(evaluate.stage_loss(q, before, after, exp, 5)) == [("a", "ok"), ("b", "lost by rerank"), ("c", "rescued by rerank"), ("d", "never retrieved"), ("e", "below cut")]
+    assert rows(evaluate.stage_loss(q, before, before, after, exp, 5), "query_id", "verdict") == [("a", "ok"), ("b", "lost by rerank"), ("c", "rescued by rerank"), ("d", "never retrieved"), ("e", "below cut")]
     corpus = spark.createDataFrame([("x",)], "doc_id string")
     assert evaluate.unwinnable(exp, corpus).count() == 5
 
