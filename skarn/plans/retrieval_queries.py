@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from skarn.functions import text as X
 from skarn.operators import fusion, lexical, vector
+from skarn.plans.stage import write_stage
 from skarn.plans.tables import spread, table
 
 K = 10
+#: Ids of sections that come more than once, of which the list may be broadcast (some 30 MB).
+MAX_BROADCAST_IDS = 300_000
 #: What the line queries look for.
 SYMBOL = "flowKit."
 
@@ -35,7 +37,7 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 def sections_with_source(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, rel_path, text, source): sections, one row per id, with the source of their file (null if it has none)."""
     sources = table(spark, d, "files").groupBy("rel_path").agg(F.min("source").alias("source"))
-    once = table(spark, d, "parents").groupBy("parent_id").agg(F.min(F.struct("rel_path", "text")).alias("v")).select(F.col("parent_id").alias("doc_id"), "v.rel_path", "v.text")
+    once = _paged(spark, d).withColumnRenamed("parent_id", "doc_id")
     return once.join(sources, "rel_path", "left").select("doc_id", "rel_path", "text", "source")
 
 
@@ -135,8 +137,14 @@ def _policy(profile: str):
 
 
 def _paged(spark, d):
-    """Section texts by id, one row each."""
-    return table(spark, d, "parents").groupBy("parent_id").agg(F.min(F.struct("rel_path", "text")).alias("v")).select("parent_id", "v.rel_path", "v.text")
+    """Section texts by id, one row each. Only the texts of ids that come more than once are shuffled."""
+    rows = table(spark, d, "parents", "parent_id", "rel_path", "text")
+    several = write_stage(rows.groupBy("parent_id").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select(F.col("parent_id").alias("_several")), "several")
+    least = lambda x: x.groupBy("parent_id").agg(F.min(F.struct("rel_path", "text")).alias("v")).select("parent_id", "v.rel_path", "v.text")
+    if several.count() > MAX_BROADCAST_IDS:
+        return least(rows)
+    same = F.col("parent_id").eqNullSafe(F.col("_several"))
+    return rows.join(F.broadcast(several), same, "left_anti").unionByName(least(rows.join(F.broadcast(several), same, "left_semi")))
 
 
 def lexical_lines(spark, d):
@@ -168,11 +176,9 @@ def symbol_hits(spark, d):
     """The three longest content terms of each question, with up to ten documents that hold the term: the candidates for promotion."""
     q = _questions(spark, d)
     wanted = q.select("query_id", F.posexplode(X.content_terms(F.col("text"), 3)).alias("pos", "symbol")).withColumn("symbol", F.lower("symbol"))
-    # only postings of these terms are made
-    index = lexical.matched_index(wanted.select("query_id", F.col("symbol").alias("text")), _docs(spark, d)).postings
-    hits = wanted.join(index.select(F.col("term").alias("symbol"), "doc_id"), "symbol")
-    order = Window.partitionBy("query_id", "pos").orderBy("doc_id")
-    return hits.withColumn("n", F.row_number().over(order)).where(F.col("n") <= 10).select("query_id", "pos", "symbol", "doc_id")
+    # only postings of these terms are made; a symbol's documents are picked once, however many questions have it
+    index = lexical.matched_index(wanted.select("query_id", F.col("symbol").alias("text")), _docs(spark, d))
+    return wanted.join(lexical.first_docs(index, 10).withColumnRenamed("term", "symbol"), "symbol").select("query_id", "pos", "symbol", "doc_id")
 
 
 QUERIES = {

@@ -34,7 +34,20 @@ def write_stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{stage_root(spark)}/skarn/{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stage = path
+    return out
+
+
+def discard(stage: DataFrame) -> None:
+    """Delete a stage table that nothing reads any more."""
+    _delete(stage.sparkSession, stage._stage)
+    _WRITTEN[:] = [x for x in _WRITTEN if x[1] != stage._stage]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def drop_stages() -> None:
@@ -42,9 +55,7 @@ def drop_stages() -> None:
     while _WRITTEN:
         spark, path = _WRITTEN.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session may be gone already; the folder then belongs to the cluster's own cleaning
             pass
 

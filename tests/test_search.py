@@ -176,3 +176,48 @@ def test_lsh_prunes_where_near_vectors_are_close(spark):
     exact = {(x[0], x[1]) for x in vector.dense_topk(q, p, 10).collect()}
     found = {(x[0], x[1]) for x in vector.lsh_candidates(q, p, 8, 15, 6).collect()}
     assert len(exact & found) >= 0.9 * len(exact) and len(found) < 0.05 * 32 * 3200
+
+
+def test_postings_are_not_repeated_for_batches_of_questions(spark, monkeypatch):
+    r = random.Random(9)
+    docs = [(r.randrange(60), " ".join(r.choice("abcdefghij") for _ in range(r.randrange(9)))) for _ in range(80)]
+    asked = [(f"q{i}", " ".join(r.choice("abcdefghijk") for _ in range(3))) for i in range(11)]
+    d, q = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(asked, "query_id string, text string")
+    texts = {}
+    for i, t in docs:  # rows of equal id are one document
+        texts.setdefault(i, []).extend(t.split())
+    mean, n = sum(map(len, texts.values())) / len(texts), len(texts)
+    want = []
+    for qid, text in asked:
+        scores = []
+        for i, t in texts.items():
+            s = [0.0]
+            for w in set(text.split()) & set(t):
+                df = sum(w in x for x in texts.values())
+                s.append(math.log1p((n - df + 0.5) / (df + 0.5)) * t.count(w) * 2.2 / (t.count(w) + 1.2 * (0.25 + 0.75 * len(t) / mean)))
+            scores += [(-round(sum(s), 9), i)] * (len(s) > 1)
+        want += [(qid, i, k + 1) for k, (_, i) in enumerate(sorted(scores)[:4])]
+    monkeypatch.setattr(lexical, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(lexical, "MOST_BLOCK", 7)
+    monkeypatch.setattr(lexical, "LEAST_BLOCK", 15)
+    for most in (lexical.MAX_BROADCAST_TERMS, 0):
+        monkeypatch.setattr(lexical, "MAX_BROADCAST_TERMS", most)
+        index = lexical.matched_index(q, d)
+        assert (index.docs.count(), index.n_docs, index.mean_terms) == (n, n, mean)
+        hits = lexical.sparse_topk(q, d, 4, index=index)
+        assert "sequence(" not in hits._jdf.queryExecution().toString()
+        assert rows(hits, "query_id", "doc_id", "rank") == sorted(want, key=str)
+        held = {(w, i) for w in set("abcdefghijk") & {w for _, t in asked for w in t.split()} for i in sorted(i for i, t in texts.items() if w in t)[:2]}
+        assert set(rows(lexical.first_docs(index, 2))) == held
+
+
+def test_single_sections_are_not_shuffled(spark, tmp_path):
+    from skarn.plans.retrieval_queries import sections_with_source
+
+    data = [("a", "x.md", "one"), ("b", "y.md", "two"), ("b", "x.md", "zwei"), (None, "z.md", "three"), (None, "y.md", None), ("c", None, "four")]
+    spark.createDataFrame(data, "parent_id string, rel_path string, text string").write.parquet(f"{tmp_path}/parents.parquet")
+    spark.createDataFrame([("x.md", "wiki"), ("x.md", "official")], "rel_path string, source string").write.parquet(f"{tmp_path}/files.parquet")
+    s = sections_with_source(spark, str(tmp_path))
+    assert rows(s) == sorted([("a", "x.md", "one", "official"), ("b", "x.md", "zwei", "official"), (None, "y.md", None, None), ("c", None, "four", None)], key=str)
+    s = s.select("doc_id", "text")
+    assert "Union" in s._jdf.queryExecution().optimizedPlan().toString() and "files.parquet" not in s._jdf.queryExecution().executedPlan().toString()
