@@ -22,11 +22,12 @@ from skarn.plans.stage import discard, write_stage
 DECIMALS, SLACK = 9, 1e-8
 
 
-def numbered(rows: DataFrame, key: str, n_tasks: int) -> DataFrame:
-    """A stage table of the rows with a column ``n`` that rises with the key, in about ``n_tasks`` files. The ranges are sampled, so the rows are written before."""
-    once = write_stage(rows, "unordered")
-    out = write_stage(once.repartitionByRange(n_tasks, key).sortWithinPartitions(key).withColumn("n", F.monotonically_increasing_id()), "numbered")
-    discard(once)
+def numbered(rows: DataFrame, key: str, least: int, written: bool = False) -> DataFrame:
+    """A stage table of the rows with a column ``n`` that rises with the key, in files of ``least`` rows or more. The ranges are sampled, so the rows are written before, unless they are ``written``."""
+    once = rows if written else write_stage(rows, "unordered")
+    out = write_stage(once.repartitionByRange(n_tasks(rows.sparkSession, once.count(), least), key).sortWithinPartitions(key).withColumn("n", F.monotonically_increasing_id()), "numbered")
+    if not written:
+        discard(once)
     return out
 
 
@@ -36,8 +37,22 @@ def asked(queries: DataFrame) -> DataFrame:
 
 
 def n_tasks(spark, n_rows: int, least: int) -> int:
-    """Two tasks a core, if each then has ``least`` rows. A task reads its rows in bounded blocks, however many they are, and each adds k rows a query to the merge."""
-    return max(1, min(-(-n_rows // least), 2 * spark.sparkContext.defaultParallelism))
+    """A task for each core, if each then has ``least`` rows. A task reads its rows in bounded blocks, however many they are, and each adds k rows a query to the merge."""
+    return max(1, min(-(-n_rows // least), spark.sparkContext.defaultParallelism))
+
+
+def blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """The rows of a task in blocks of at most so many."""
+    held, size = [], 0
+    for batch in batches:
+        while len(batch):
+            part = batch.slice(0, most - size)
+            held, size, batch = [*held, part], size + len(part), batch.slice(len(part))
+            if size == most:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 class Best:

@@ -99,10 +99,11 @@ class Search:
             arms.append(vector.dense_topk(self.encode(questions, "query_id", "text"), points, depth).withColumnRenamed("point_id", "doc_id"))
         if self.mode != "dense":
             arms.append(lexical.sparse_topk(questions, sections, depth, keep=keep))
-        hits = fusion.rrf(arms, self.candidates) if len(arms) > 1 else arms[0]
+        # read several times: an arm is a pass over all sections
+        hits = write_stage(fusion.rrf(arms, self.candidates) if len(arms) > 1 else arms[0], "fused")
         counted = hits.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("considered"))
         placed = hits.join(inside.select("doc_id", "rel_path", "doc_type"), "doc_id")
-        hits = self.rerank(fusion.best_per_parent(placed, "doc_id"), questions, inside, k)
+        hits = write_stage(self.rerank(fusion.best_per_parent(placed, "doc_id"), questions, inside, k), "reranked")
         if self.profile.boost:
             hits = fusion.boosted(hits, F.col("doc_type").isin(*self.profile.boost))
         if self.profile.lexical_for_code:
@@ -118,9 +119,9 @@ class Search:
         texts = inside.select("doc_id", F.col("text").alias("_text")).join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
         there = hits.join(symbols, "query_id", "left").join(texts, "doc_id")
         found = F.coalesce(F.exists("_symbols", lambda s: F.contains(F.col("_text"), s)), F.lit(False))
-        marked = fusion.boosted(there.withColumn("_hit", found), F.col("_hit"))
+        marked = write_stage(fusion.boosted(there.withColumn("_hit", found).drop("_symbols", "_text"), F.col("_hit")), "marked")
         used = marked.groupBy("query_id").agg(F.max("_hit").alias("used_lexical"))
-        return marked.drop("_symbols", "_text", "_hit").join(used, "query_id")
+        return marked.drop("_hit").join(used, "query_id")
 
 
 BAD_REQUEST, BACKEND_UNAVAILABLE = "BAD_REQUEST", "BACKEND_UNAVAILABLE"

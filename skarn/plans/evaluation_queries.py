@@ -103,7 +103,7 @@ def token_savings(spark, d):
     """Tokens of reading the five best files whole against the five best sections, per case, with hits."""
     s = sections_with_source(spark, d)
     q = _scored(spark, d).select("query_id", "text")
-    hits = lexical.sparse_topk(q, s, 5)
+    hits = write_stage(lexical.sparse_topk(q, s, 5), "hits")
     whole = s.withColumn("tokens", X.approx_tokens(F.col("text"))).groupBy("rel_path").agg(F.sum("tokens").alias("file_tokens"))
     rows = hits.join(s.select("doc_id", "rel_path", X.approx_tokens(F.col("text")).alias("tokens")), "doc_id").join(whole, "rel_path")
     files = rows.select("query_id", "rel_path", "file_tokens").distinct().groupBy("query_id").agg(F.sum("file_tokens").alias("naive_tokens"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skarn.functions import text as X
 from skarn.operators import baseline, index_pass, search
 from skarn.plans import corpus_queries, evaluation_queries, pipeline_queries, retrieval_queries
+from skarn.plans.stage import write_stage
 from skarn.plans.tables import table
 
 AT = "2026-01-01T00:00:00+00:00"
@@ -104,7 +105,7 @@ def children_report(spark, d):
 def run_summary(spark, d):
     """The searches of the golden cases per provenance and overall: cases, those without any hit, the share found among ten, the share whose best file the profile reaches, files ranked."""
     q, s, index = evaluation_queries._indexed(spark, d)
-    ranked = evaluation_queries._files_ranked(q, s, index)
+    ranked = write_stage(evaluation_queries._files_ranked(q, s, index), "ranked")
     cases = evaluation_queries._scored(spark, d).select("query_id", "provenance", "profile")
     first = evaluation_queries.evaluate.first_ranks(cases, ranked, evaluation_queries._expected(spark, d))
     files = table(spark, d, "files").groupBy("rel_path").agg(F.min("source").alias("source")).select(F.col("rel_path").alias("doc_id"), "source")

@@ -90,7 +90,7 @@ def hybrid_search(spark, d):
     encode = lambda rows, key: vector.hashed_embedding(rows, key, "text")
     dense = vector.dense_topk(encode(q, "query_id"), encode(docs, "doc_id").withColumnRenamed("doc_id", "point_id"), 30 * fusion.PREFETCH).withColumnRenamed("point_id", "doc_id")
     sparse = lexical.sparse_topk(q, docs, 30 * fusion.PREFETCH)
-    return _ranked(fusion.overlap_rerank(fusion.rrf([dense, sparse], 30), q, docs, 8)).select("query_id", "doc_id", "rank", "score")
+    return _ranked(fusion.overlap_rerank(write_stage(fusion.rrf([dense, sparse], 30), "hits"), q, docs, 8)).select("query_id", "doc_id", "rank", "score")
 
 
 def parent_dedupe(spark, d):
@@ -105,7 +105,7 @@ def _with_source(spark, d, hits):
 
 def rerank_overlap(spark, d):
     q, docs = _questions(spark, d), _docs(spark, d)
-    return _ranked(fusion.overlap_rerank(lexical.sparse_topk(q, docs, 30), q, docs, 8)).select("query_id", "doc_id", "rank", "score")
+    return _ranked(fusion.overlap_rerank(write_stage(lexical.sparse_topk(q, docs, 30), "hits"), q, docs, 8)).select("query_id", "doc_id", "rank", "score")
 
 
 def type_boost(spark, d):

@@ -221,3 +221,17 @@ def test_single_sections_are_not_shuffled(spark, tmp_path):
     assert rows(s) == sorted([("a", "x.md", "one", "official"), ("b", "x.md", "zwei", "official"), (None, "y.md", None, None), ("c", None, "four", None)], key=str)
     s = s.select("doc_id", "text")
     assert "Union" in s._jdf.queryExecution().optimizedPlan().toString() and "files.parquet" not in s._jdf.queryExecution().executedPlan().toString()
+
+
+def test_points_are_not_repeated_for_batches_of_queries(spark, monkeypatch):
+    for name, value in (("POINT_BLOCK", 31), ("QUERY_BLOCK", 2), ("QUERY_BATCH", 3), ("LEAST_POINTS", 50)):
+        monkeypatch.setattr(vector, name, value, raising=False)
+    points = [(i, v) for i, v in _vectors(160)] + [(1000 + i, v) for i, v in _vectors(160)]  # every score twice
+    p = spark.createDataFrame(points, "point_id long, vector array<double>")
+    q = p.where("point_id % 20 = 0 AND point_id < 1000").withColumnRenamed("point_id", "query_id")
+    hits = vector.dense_topk(q, p, 5)
+    assert "sequence(" not in hits._jdf.queryExecution().toString()
+    got = {}
+    for r in sorted(hits.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append(r["point_id"])
+    assert got == {i: _brute(points, v, 5) for i, v in points if i % 20 == 0 and i < 1000}
