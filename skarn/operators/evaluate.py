@@ -11,7 +11,9 @@ from skarn.plans.stage import write_stage
 
 def first_ranks(queries: DataFrame, ranking: DataFrame, expected: DataFrame) -> DataFrame:
     """(query_id, first_rank): rank of the first relevant hit of each query, null if none was found."""
-    hits = ranking.join(expected.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("first_rank"))
+    # joined by the query alone: rankings are partitioned by it already
+    wanted = expected.groupBy("query_id").agg(F.collect_set("doc_id").alias("_wanted"))
+    hits = ranking.join(wanted, "query_id").where(F.array_contains("_wanted", F.col("doc_id"))).groupBy("query_id").agg(F.min("rank").alias("first_rank"))
     return queries.select("query_id").distinct().join(hits, "query_id", "left")
 
 

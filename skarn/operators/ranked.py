@@ -58,13 +58,14 @@ def blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
 class Best:
     """The k best (number, score) of each query so far; ties go to the lower number."""
 
-    def __init__(self, n_queries: int, k: int):
+    def __init__(self, n_queries: int, k: int, also: bool = False):
         self.k = k
         self.least = np.full(n_queries, -np.inf)
         self.n, self.score = [np.empty(0, np.int64)] * n_queries, [np.empty(0)] * n_queries
+        self.also = [np.empty(0, np.int32)] * n_queries if also else None
 
-    def offer(self, i: int, row: np.ndarray, n: np.ndarray, floor: float = -np.inf) -> None:
-        """Scores of a block of rows, in the order of their numbers ``n``; those at or below ``floor`` don't count."""
+    def offer(self, i: int, row: np.ndarray, n: np.ndarray, floor: float = -np.inf, also: Callable[[np.ndarray], np.ndarray] | None = None) -> None:
+        """Scores of a block of rows, in the order of their numbers ``n``; those at or below ``floor`` don't count. ``also`` gives another number of the rows at some places, which is kept with them."""
         k, least = self.k, self.least[i]
         if least == -np.inf and len(row) >= 16 * k:
             # the k-th greatest of the maxima of groups: k rows are at least as good
@@ -79,6 +80,8 @@ class Best:
         number = np.concatenate([self.n[i], n[found]])
         best = np.lexsort((number, -score))[:k]
         self.n[i], self.score[i] = number[best], score[best]
+        if self.also is not None:
+            self.also[i] = np.concatenate([self.also[i], also(found)])[best]
         if len(best) == k:
             self.least[i] = self.score[i][-1]
 
@@ -87,19 +90,27 @@ class Best:
         for at in range(0, len(some), size):
             part = some[at : at + size]
             ends = np.cumsum([0, *(len(self.n[i]) for i in part)]).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(ends, np.concatenate([x[i] for i in part])) for x in (self.n, self.score)]
-            yield pa.RecordBatch.from_arrays([pa.array(q[part], pa.int64()), *lists], ["q", "ns", "scores"])
+            kept = {"ns": self.n, "scores": self.score} | ({} if self.also is None else {"alsos": self.also})
+            lists = [pa.ListArray.from_arrays(ends, np.concatenate([x[i] for i in part])) for x in kept.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(q[part], pa.int64()), *lists], ["q", *kept])
 
 
-def best_of(rows: DataFrame, passes: list[Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]], queries: DataFrame, numbers: DataFrame, key: str, k: int) -> DataFrame:
-    """(query_id, key, rank, score): runs each pass, a batch of queries each, over the rows, and merges what its tasks hand on. queries: ``asked``, numbers: (n, key)."""
-    kinds = "q bigint, ns array<bigint>, scores array<double>"
+def best_numbers(rows: DataFrame, passes: list[Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]], k: int, also: str | None = None) -> DataFrame:
+    """(q, n, rank, score), and the column ``also`` if the passes give it: runs each pass, a batch of queries each, over the rows, and merges what its tasks hand on."""
+    lists = {"ns": "n", "scores": "score"} | ({"alsos": also} if also else {})
+    kinds = "q bigint, ns array<bigint>, scores array<double>" + ", alsos array<int>" * bool(also)
     if not passes:
-        empty = queries.limit(0).select("query_id").crossJoin(numbers.limit(0).select(key))
-        return empty.select("query_id", key, F.lit(0).alias("rank"), F.lit(0.0).alias("score"))
+        kinds = "q bigint, n bigint, rank int, score double" + f", {also} int" * bool(also)
+        return rows.sparkSession.createDataFrame([], kinds)
     found = reduce(DataFrame.unionByName, (rows.mapInArrow(p, kinds) for p in passes))
     # the lists are shuffled before they are unfolded
-    each = found.repartition("q").select("q", F.explode(F.arrays_zip("ns", "scores")).alias("v")).select("q", F.col("v.ns").alias("n"), F.col("v.scores").alias("score"))
+    each = found.repartition("q").select("q", F.explode(F.arrays_zip(*lists)).alias("v")).select("q", *(F.col(f"v.{x}").alias(name) for x, name in lists.items()))
     order = Window.partitionBy("q").orderBy(F.desc("score"), "n")
-    ranked = each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.join(queries, "q").join(numbers.select("n", key), "n").select("query_id", key, "rank", "score")
+    best = each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.select("q", "n", "rank", "score", *([also] if also else []))
+
+
+def best_of(rows: DataFrame, passes: list[Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]], queries: DataFrame, numbers: DataFrame, key: str, k: int, also: str | None = None) -> DataFrame:
+    """(query_id, key, rank, score, ...): ``best_numbers`` with the ids that the numbers stand for. queries: ``asked``, numbers: (n, key)."""
+    best = best_numbers(rows, passes, k, also)
+    return best.join(queries, "q").join(numbers.select("n", key), "n").select("query_id", key, "rank", "score", *([also] if also else []))

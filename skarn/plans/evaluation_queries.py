@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skarn.functions import text as X
 from skarn.operators import evaluate, fusion, lexical, research
@@ -39,8 +40,32 @@ def _files_ranked(q, s, index, idf=True, k=30):
     return fusion.best_per_parent(hits.join(s.select("doc_id", "rel_path"), "doc_id").withColumn("score", F.round("score", 9)), "rel_path").select("query_id", F.col("rel_path").alias("doc_id"), "rank", "score")
 
 
-def _ranks(spark, d, idf=True, indexed=None):
-    return evaluate.first_ranks(_scored(spark, d), _files_ranked(*(indexed or _indexed(spark, d)), idf), _expected(spark, d))
+def _filed(spark, d):
+    """The index, (n, rel_path, file) of its sections, and the expectations by number. A file's number is the least of its sections; a section without a file stands for itself."""
+    _, s, index = _indexed(spark, d)
+    named = index.docs.select("n", "doc_id").join(s.select("doc_id", "rel_path"), "doc_id")
+    own = Window.partitionBy("rel_path", F.when(F.col("rel_path").isNull(), F.col("doc_id")))
+    placed = write_stage(named.select("n", "rel_path", F.min("n").over(own).alias("file")), "placed")
+    files = placed.where(F.col("n") == F.col("file")).select(F.col("rel_path").alias("doc_id"), "file")
+    expected = _expected(spark, d).join(index.queries, "query_id").join(files, "doc_id")
+    return index, placed, write_stage(expected.select(F.col("q").alias("query_id"), F.col("file").alias("doc_id")), "expected")
+
+
+def _hits(index, placed, k, idf=True, matched=False):
+    """Hits of the sections (query_id, doc_id, file, rank, score), all by number."""
+    hits = lexical.sparse_numbers(index, k, idf, matched=matched).join(placed.select("n", "file"), "n")
+    return hits.withColumnsRenamed({"q": "query_id", "n": "doc_id"})
+
+
+def _named(spark, d, index, rows):
+    """Rows by number of a query, for all scored cases by id; null for those that have none."""
+    return _scored(spark, d).select("query_id").join(rows.withColumnRenamed("query_id", "q").join(index.queries, "q").drop("q"), "query_id", "left")
+
+
+def _ranks(spark, d, idf=True, filed=None):
+    index, placed, expected = filed or _filed(spark, d)
+    files = fusion.best_per_parent(_hits(index, placed, 60, idf), "file").select("query_id", F.col("file").alias("doc_id"), "rank")
+    return _named(spark, d, index, evaluate.first_ranks(index.queries.select(F.col("q").alias("query_id")), files, expected))
 
 
 def first_rank(spark, d):
@@ -72,8 +97,8 @@ def out_of_reach(spark, d):
 
 
 def arm_disagreement(spark, d):
-    indexed = _indexed(spark, d)
-    return evaluate.disagreements(_ranks(spark, d, indexed=indexed), _ranks(spark, d, False, indexed))
+    filed = _filed(spark, d)
+    return evaluate.disagreements(_ranks(spark, d, filed=filed), _ranks(spark, d, False, filed))
 
 
 def stage_loss(spark, d):

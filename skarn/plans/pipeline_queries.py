@@ -58,8 +58,8 @@ def title_sniff(spark, d):
 
 def arm_deltas(spark, d):
     """Both arms side by side: cases, found at 10, mean reciprocal rank, never found."""
-    indexed = evaluation_queries._indexed(spark, d)
-    arms = [evaluation_queries._ranks(spark, d, idf, indexed).withColumn("arm", F.lit(name)) for name, idf in (("with_idf", True), ("without_idf", False))]
+    filed = evaluation_queries._filed(spark, d)
+    arms = [evaluation_queries._ranks(spark, d, idf, filed).withColumn("arm", F.lit(name)) for name, idf in (("with_idf", True), ("without_idf", False))]
     rows = arms[0].unionByName(arms[1])
     m = evaluate.recall_mrr(rows, "arm").withColumns({c: F.round(c, 6) for c in ("recall_at_5", "recall_at_10", "mrr")})
     lost = rows.groupBy("arm").agg(F.count_if(F.col("first_rank").isNull()).alias("never_found"))

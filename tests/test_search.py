@@ -235,3 +235,15 @@ def test_points_are_not_repeated_for_batches_of_queries(spark, monkeypatch):
     for r in sorted(hits.collect(), key=lambda r: (r["query_id"], r["rank"])):
         got.setdefault(r["query_id"], []).append(r["point_id"])
     assert got == {i: _brute(points, v, 5) for i, v in points if i % 20 == 0 and i < 1000}
+
+
+def test_both_orders_of_a_ranking_take_one_shuffle(spark):
+    from skarn.operators import evaluate
+
+    hits = spark.createDataFrame(HITS, HIT_SCHEMA)
+    ranking = fusion.best_per_parent(hits, "parent").drop("doc_id").withColumnRenamed("parent", "doc_id")
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert shuffles(ranking) == 1
+    expected = spark.createDataFrame([("q", "r"), ("q", "p"), ("q", None), ("z", "x")], "query_id string, doc_id string")
+    queries = spark.createDataFrame([("q",), ("z",), ("y",)], "query_id string")
+    assert rows(evaluate.first_ranks(queries, ranking, expected)) == [("q", 1), ("y", None), ("z", None)]
