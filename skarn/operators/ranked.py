@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from skarn.plans.stage import discard, write_stage
 
 #: Scores are compared after rounding to so many decimals; what may round up to the least kept score is kept till then.
 DECIMALS, SLACK = 9, 1e-8
+#: Cells of the bitmap (512 kB) that keeps rows out of a shuffle.
+CELLS = 1 << 22
 
 
 def numbered(rows: DataFrame, key: str, least: int, written: bool = False) -> DataFrame:
@@ -114,3 +117,17 @@ def best_of(rows: DataFrame, passes: list[Callable[[Iterator[pa.RecordBatch]], I
     """(query_id, key, rank, score, ...): ``best_numbers`` with the ids that the numbers stand for. queries: ``asked``, numbers: (n, key)."""
     best = best_numbers(rows, passes, k, also)
     return best.join(queries, "q").join(numbers.select("n", key), "n").select("query_id", key, "rank", "score", *([also] if also else []))
+
+
+def thinned(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key may be among the ``wanted`` ones, to be joined with them: long texts that no one asks for are then not shuffled. A bitmap of fixed size goes to the tasks; rows of other keys in the same cells pass too, and none that is wanted is lost."""
+    cell = F.pmod(F.xxhash64(key), F.lit(CELLS)).cast("int")
+    held = np.zeros(CELLS, bool)
+    held[wanted.select(cell.alias("cell")).distinct().toArrow()["cell"].to_numpy()] = True
+    bits = np.packbits(held)
+
+    def there(cells: pd.Series) -> pd.Series:
+        at = cells.to_numpy()
+        return pd.Series((bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool))
+
+    return rows.where(F.pandas_udf(there, "boolean")(cell))

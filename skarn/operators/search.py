@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skarn.functions import text as X
-from skarn.operators import fusion, lexical, vector
+from skarn.operators import fusion, lexical, ranked, vector
 from skarn.plans.stage import write_stage
 
 # What each kind of answer may hold.
@@ -98,12 +98,15 @@ class Search:
             points = self.encode(inside, "doc_id", "text").withColumnRenamed("doc_id", "point_id")
             arms.append(vector.dense_topk(self.encode(questions, "query_id", "text"), points, depth).withColumnRenamed("point_id", "doc_id"))
         if self.mode != "dense":
-            arms.append(lexical.sparse_topk(questions, sections, depth, keep=keep))
+            # the stand-in needs no texts if the only arm tells how many terms are there
+            own = self.mode == "sparse" and self.rerank is fusion.overlap_rerank
+            arms.append(lexical.sparse_topk(questions, sections, depth, keep=keep, matched=own))
         # read several times: an arm is a pass over all sections
         hits = write_stage(fusion.rrf(arms, self.candidates) if len(arms) > 1 else arms[0], "fused")
         counted = hits.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("considered"))
-        placed = hits.join(inside.select("doc_id", "rel_path", "doc_type"), "doc_id")
-        hits = write_stage(self.rerank(fusion.best_per_parent(placed, "doc_id"), questions, inside, k), "reranked")
+        top = self.rerank(fusion.best_per_parent(hits, "doc_id"), questions, inside, k)
+        once = inside.groupBy("doc_id").agg(F.min(F.struct("rel_path", "doc_type")).alias("v"))
+        hits = write_stage(top.join(once, "doc_id").select("query_id", "doc_id", "v.rel_path", "v.doc_type", "rank", "score"), "reranked")
         if self.profile.boost:
             hits = fusion.boosted(hits, F.col("doc_type").isin(*self.profile.boost))
         if self.profile.lexical_for_code:
@@ -114,12 +117,12 @@ class Search:
 
     @staticmethod
     def _promote(hits: DataFrame, questions: DataFrame, inside: DataFrame) -> DataFrame:
-        """Hits that hold one of the first three code symbols of a code-like question go first. Only the texts of hits are read."""
+        """Hits that hold one of the first three code symbols of a code-like question go first. Only the texts of such questions' hits are read."""
         symbols = questions.where(X.is_code_like(F.col("text"))).select("query_id", F.slice(X.query_symbols(F.col("text")), 1, 3).alias("_symbols"))
-        texts = inside.select("doc_id", F.col("text").alias("_text")).join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
-        there = hits.join(symbols, "query_id", "left").join(texts, "doc_id")
-        found = F.coalesce(F.exists("_symbols", lambda s: F.contains(F.col("_text"), s)), F.lit(False))
-        marked = write_stage(fusion.boosted(there.withColumn("_hit", found).drop("_symbols", "_text"), F.col("_hit")), "marked")
+        asked = write_stage(hits.join(symbols, "query_id").select("query_id", "doc_id", "_symbols"), "asked")
+        texts = ranked.thinned(inside.select("doc_id", F.col("text").alias("_text")), asked, "doc_id")
+        there = asked.join(texts, "doc_id").where(F.exists("_symbols", lambda s: F.contains(F.col("_text"), s)))
+        marked = write_stage(fusion.boosted(hits.join(there.select("query_id", "doc_id", F.lit(True).alias("_hit")).distinct(), ["query_id", "doc_id"], "left").fillna(False, "_hit"), F.col("_hit")), "marked")
         used = marked.groupBy("query_id").agg(F.max("_hit").alias("used_lexical"))
         return marked.drop("_hit").join(used, "query_id")
 
@@ -176,5 +179,7 @@ def find_lines(sections: DataFrame, pattern: str, profile: Profile, folder: str
 
 def capped_answer(hits: DataFrame, texts: DataFrame, max_words: int = 150, max_chars: int = 6000) -> DataFrame:
     """(query_id, rank, doc_id, snippet, running): the prefix of each answer whose items fit, as JSON, into ``max_chars``; the first is always kept."""
-    rows = hits.join(texts.select("doc_id", "text"), "doc_id").select("query_id", "rank", "doc_id", X.snippet(F.col("text"), max_words).alias("snippet"))
+    # snippets are made before the shuffle, of texts that may be among the hits
+    snippets = ranked.thinned(texts.select("doc_id", "text"), hits, "doc_id").select("doc_id", X.snippet(F.col("text"), max_words).alias("snippet"))
+    rows = hits.select("query_id", "rank", "doc_id").join(snippets, "doc_id")
     return fusion.running_cap(rows, "query_id", "rank", X.item_cost("rank", "doc_id", "snippet"), max_chars, CAPS["search"]["max_results"])

@@ -8,6 +8,7 @@ from skarn.functions import text as X
 from skarn.operators import chunking, evaluate, sampling, search
 from skarn.plans import corpus_queries, evaluation_queries
 from skarn.plans.retrieval_queries import _BM25_PARTS, _ONCE, _questions, _ranked_sql, sections_with_source
+from skarn.plans.stage import write_stage
 from skarn.plans.tables import table
 
 
@@ -25,7 +26,7 @@ def _pipeline(profile: str, mode: str = "hybrid"):
 
 def capped_answers(spark, d):
     hits = search.Search(search.PROFILES["general"], "sparse").run(_questions(spark, d), _indexed(spark, d))
-    return search.capped_answer(hits, _indexed(spark, d), 60, 1500).select("query_id", "rank", "doc_id", "running")
+    return search.capped_answer(write_stage(hits, "hits"), _indexed(spark, d), 60, 1500).select("query_id", "rank", "doc_id", "running")
 
 
 def facet_filter(spark, d):
