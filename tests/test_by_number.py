@@ -53,7 +53,7 @@ def test_first_ranks(spark, odd, name):
     assert "Window [row_number" in plan and "rel_path" not in "".join(x for x in plan.split("\n") if "Window [" in x)
 
 
-@pytest.mark.parametrize("name", ["capped_answers", "search_personal"])
+@pytest.mark.parametrize("name", ["capped_answers", "answer_citations", "search_personal"])
 def test_answers(spark, odd, name):
     _agrees(spark, odd, name)
 
