@@ -102,12 +102,14 @@ def arm_disagreement(spark, d):
 
 
 def stage_loss(spark, d):
-    q, s, index = _indexed(spark, d)
-    hits = write_stage(lexical.sparse_topk(q, s, 30, index=index), "hits")
-    placed = lambda h: h.join(s.select("doc_id", "rel_path"), "doc_id")
-    by_file = lambda h: h.select("query_id", F.col("rel_path").alias("doc_id"), "rank")
-    deduped = fusion.best_per_parent(placed(hits), "rel_path")
-    return evaluate.stage_loss(q, by_file(placed(hits)), by_file(deduped), by_file(placed(fusion.overlap_rerank(hits, q, s, 8))), _expected(spark, d), 8)
+    index, placed, expected = _filed(spark, d)
+    q = _scored(spark, d).join(index.queries, "query_id").select(F.col("q").alias("query_id"), "text")
+    hits = write_stage(_hits(index, placed, 30, matched=True), "hits")
+    by_file = lambda h: h.select("query_id", F.col("file").alias("doc_id"), "rank")
+    deduped = fusion.best_per_parent(hits, "file")
+    loss = evaluate.stage_loss(q, by_file(hits), by_file(deduped), by_file(fusion.overlap_rerank(hits, q, None, 8)), expected, 8)
+    # a question without terms has no number
+    return _named(spark, d, index, loss).select(*loss.columns[:-1], F.coalesce("verdict", F.lit("never retrieved")).alias("verdict"))
 
 
 def loss_counts(spark, d):
