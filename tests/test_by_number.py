@@ -53,7 +53,7 @@ def test_first_ranks(spark, odd, name):
     assert "Window [row_number" in plan and "rel_path" not in "".join(x for x in plan.split("\n") if "Window [" in x)
 
 
-@pytest.mark.parametrize("name", ["loss_counts"])
+@pytest.mark.parametrize("name", ["stage_loss", "loss_counts"])
 def test_losses(spark, odd, name):
     # the share of terms comes from the index: no texts are compared
     assert "array_intersect" not in _agrees(spark, odd, name)._jdf.queryExecution().toString()
