@@ -149,21 +149,23 @@ def token_totals(spark, d):
     return sums.withColumn("total_ratio", F.round(F.col("naive_tokens") / F.col("section_tokens"), 4)).drop("all")
 
 
-def _sub_hits(spark, d):
-    """Hits of two sub-queries per case: the question by BM25 and without idf."""
-    q, s, index = _indexed(spark, d)
-    arm = lambda i, idf: lexical.sparse_topk(q, s, 18, idf=idf, index=index).withColumn("query_idx", F.lit(i))
+def _pool(spark, d, budget):
+    """(question_id, parent_id, rank): the pool of two sub-queries per case, the question by BM25 and without idf. Pooled by number; only what is in it gets its ids."""
+    _, _, index = _indexed(spark, d)
+    arm = lambda i, idf: lexical.sparse_numbers(index, 18, idf).withColumn("query_idx", F.lit(i))
     rows = arm(0, True).unionByName(arm(1, False)).withColumn("score", F.round("score", 6))
-    return rows.withColumnRenamed("query_id", "question_id").withColumnRenamed("doc_id", "parent_id")
+    pool = research.evidence_pool(rows.withColumnRenamed("q", "question_id").withColumn("parent_id", F.col("n").cast("string")), "parent_id", budget)
+    named = pool.select(F.col("question_id").alias("q"), "n", "rank").join(index.queries, "q").join(index.docs.select("n", "doc_id"), "n")
+    return named.select(F.col("query_id").alias("question_id"), F.col("doc_id").alias("parent_id"), "rank")
 
 
 def evidence_pool(spark, d):
-    return research.evidence_pool(_sub_hits(spark, d), "parent_id", 4).select("question_id", "parent_id", "rank")
+    return _pool(spark, d, 4)
 
 
 def judged_brief(spark, d):
     """What a judge keeps that says yes to sections whose id is even in its last digit."""
-    pool = research.evidence_pool(_sub_hits(spark, d), "parent_id", 6)
+    pool = _pool(spark, d, 6)
     return research.brief(pool, F.conv(F.right("parent_id", F.lit(1)), 16, 10).cast("int") % 2 == 0, 6).select("question_id", "parent_id", "rank", "n_judged")
 
 

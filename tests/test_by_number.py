@@ -1,6 +1,7 @@
 """Queries that rank by number, on odd tables, against their SQL in DuckDB."""
 
 import random
+import re
 
 import duckdb
 import pytest
@@ -59,6 +60,13 @@ def test_losses(spark, odd, name):
     assert "array_intersect" not in _agrees(spark, odd, name)._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("name", ["evidence_pool"])
+def test_pools(spark, odd, name):
+    # pooled by number: sections get their ids after the pool's order, once for both arms
+    plan = _agrees(spark, odd, name)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Project \[(?:n#\d+L, doc_id#\d+|doc_id#\d+, n#\d+L)\]", plan)) == 1
+
+
 @pytest.mark.parametrize("name", ["capped_answers", "answer_citations", "search_personal"])
 def test_answers(spark, odd, name):
     _agrees(spark, odd, name)
