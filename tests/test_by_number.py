@@ -60,7 +60,7 @@ def test_losses(spark, odd, name):
     assert "array_intersect" not in _agrees(spark, odd, name)._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("name", ["evidence_pool"])
+@pytest.mark.parametrize("name", ["evidence_pool", "judged_brief"])
 def test_pools(spark, odd, name):
     # pooled by number: sections get their ids after the pool's order, once for both arms
     plan = _agrees(spark, odd, name)._jdf.queryExecution().optimizedPlan().toString()
