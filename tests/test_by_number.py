@@ -47,7 +47,7 @@ def _agrees(spark, odd, name):
     return df
 
 
-@pytest.mark.parametrize("name", ["first_rank", "recall_mrr", "gate", "arm_deltas"])
+@pytest.mark.parametrize("name", ["first_rank", "recall_mrr", "gate", "arm_deltas", "arm_disagreement"])
 def test_first_ranks(spark, odd, name):
     # what is ranked has numbers: no order is by the name of a question or file
     plan = _agrees(spark, odd, name)._jdf.queryExecution().optimizedPlan().toString()
