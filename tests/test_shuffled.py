@@ -34,7 +34,7 @@ def _shuffled(spark) -> int:
     return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
 
 
-@pytest.mark.parametrize("name", ["answer_citations", "judged_brief", "recall_mrr", "arm_disagreement", "gate"])
+@pytest.mark.parametrize("name", ["answer_citations", "judged_brief", "recall_mrr", "arm_disagreement", "gate", "stage_loss"])
 def test_texts_are_not_shuffled(spark, long_texts, name):
     d, size = long_texts
     before = _shuffled(spark)
